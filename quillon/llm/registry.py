@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillon.llm import quality_rules
+from quillon.llm import quality_rules, url_filters
 from quillon.llm.common import read_table
 
 
@@ -10,10 +10,16 @@ def op2_quality_rules(spark, sf_dir):
     return quality_rules.judge(read_table(spark, sf_dir, "documents"))
 
 
+def op7_url_filters(spark, sf_dir):
+    return url_filters.judge(read_table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op2_quality_rules": op2_quality_rules,
+    "op7_url_filters": op7_url_filters,
 }
 
 SQL = {
     "op2_quality_rules": quality_rules.SQL,
+    "op7_url_filters": url_filters.SQL,
 }
