@@ -16,7 +16,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillon.llm.common import bind
 from quillon.llm.components import connected_components
+from quillon.session import checkpointed
 
 #: The rules of the registered query: verdict, host, path.
 RULES = (
@@ -65,7 +67,10 @@ def written_form(url: Column) -> Column:
 
 def _resolved(link: Column, base: Column) -> Column:
     """link as an absolute address, seen from base."""
-    link = F.trim(F.regexp_replace(link, "&amp;", "&"))
+    return bind(F.trim(F.regexp_replace(link, "&amp;", "&")), lambda l: bind(base, lambda b: _absolute(l, b)))
+
+
+def _absolute(link: Column, base: Column) -> Column:
     scheme = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1)
     root = F.concat(scheme, F.lit("://"), F.regexp_extract(base, r"://([^/?#]*)", 1))
     folder = F.regexp_replace(path_of(base), r"[^/]*$", "")
@@ -100,7 +105,8 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     parsed = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     own = parsed.withColumn("own", compile_rules(rules, host, path))
 
-    named = alias_edges(pages.select("url", "html"))
+    # html is read once; the written edges also keep the parsing out of the plans below
+    named = checkpointed(alias_edges(pages.select("url", "html")))
     groups = connected_components(named.select(written_form(F.col("url")).alias("left"), written_form(F.col("target")).alias("right")), "left", "right")
     # decisions of addresses that take part in an edge: pages, and targets that are no pages themselves
     sites = named.select("url").unionAll(named.select(F.col("target").alias("url")))
