@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillon.llm import quality_rules, url_filters
+from quillon.llm import quality_rules, simhash_dedup, url_filters
 from quillon.llm.common import read_table
 
 
@@ -14,9 +14,14 @@ def op7_url_filters(spark, sf_dir):
     return url_filters.judge(read_table(spark, sf_dir, "pages"))
 
 
+def op8_simhash_dedup(spark, sf_dir):
+    return simhash_dedup.find(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op7_url_filters": op7_url_filters,
+    "op8_simhash_dedup": op8_simhash_dedup,
 }
 
 SQL = {
