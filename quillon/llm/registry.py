@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
-from quillon.llm import quality_rules, simhash_dedup, url_filters
+from quillon.llm import language_id, quality_rules, simhash_dedup, toxicity, url_filters
 from quillon.llm.common import read_table
 
 
+def op1_language_id(spark, sf_dir):
+    return language_id.identify(read_table(spark, sf_dir, "documents"))
+
+
 def op2_quality_rules(spark, sf_dir):
     return quality_rules.judge(read_table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark, sf_dir):
+    return toxicity.judge(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op7_url_filters(spark, sf_dir):
     return url_filters.judge(read_table(spark, sf_dir, "pages"))
 
@@ -19,7 +27,9 @@ def op8_simhash_dedup(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op2_quality_rules": op2_quality_rules,
+    "op6_toxicity": op6_toxicity,
     "op7_url_filters": op7_url_filters,
     "op8_simhash_dedup": op8_simhash_dedup,
 }
