@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillon.llm import language_id, quality_rules, simhash_dedup, toxicity, url_filters
+from quillon.llm import language_id, packing, quality_rules, simhash_dedup, toxicity, url_filters
 from quillon.llm.common import read_table
 
 
@@ -14,6 +14,10 @@ def op2_quality_rules(spark, sf_dir):
     return quality_rules.judge(read_table(spark, sf_dir, "documents"))
 
 
+def op3_packing(spark, sf_dir):
+    return packing.pack(read_table(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark, sf_dir):
     return toxicity.judge(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -29,6 +33,7 @@ def op8_simhash_dedup(spark, sf_dir):
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_quality_rules": op2_quality_rules,
+    "op3_packing": op3_packing,
     "op6_toxicity": op6_toxicity,
     "op7_url_filters": op7_url_filters,
     "op8_simhash_dedup": op8_simhash_dedup,
