@@ -5,15 +5,21 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from itertools import compress
+from operator import concat
+
+import numpy as np
 
 WORD_BPE = "word_bpe_49k.json"
 
 #: Characters that Python counts as white space and the tokenizer does not.
 _ODD_SPACE = re.compile(r"[\x1c-\x1f]")
-#: Latin letters and then ASCII punctuation other than ' and _: two tokens' worth of independent text.
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-^`{-~]*)")
+#: Marks that may follow a word's letters: ASCII punctuation other than ' and _ (which bind to letters).
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^`{|}~"
+#: A word, of words parted by spaces, that has more than lower-case Latin letters which normalisation leaves alone.
+_OTHER = re.compile(r"[^ ]*[^a-zß-öø-ÿ ][^ ]*")
 #: Words that a worker remembers; it forgets all of them when there are more.
-REMEMBERED = 400_000
+REMEMBERED = 800_000
 
 
 def resolve(path: str) -> str:
@@ -36,22 +42,48 @@ class WordTokenizer:
     def __init__(self, path: str = WORD_BPE):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_file(resolve(path))
+        # for words of plain letters: the same model without the steps that such words do not need
+        self.plain = Tokenizer.from_file(resolve(path))
+        self.plain.normalizer = None
+        self.plain.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.words: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _encode_plain(self, words: list[str]) -> list[bytes]:
+        """Each word's ids, from one call: a token that ends a word says so."""
+        if not words:
+            return []
+        ids = np.array(self.plain.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
+        stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+        data = ids.tobytes()
+        return [data[a:b] for a, b in zip([0, *stops], stops, strict=False)]
+
     def _learn(self, missing: set[str]) -> None:
         words = self.words
-        if len(words) + len(missing) > REMEMBERED:
-            words.clear()
-        split = {w: m.groups() for w in missing if (m := _PLAIN.fullmatch(w)) and (m[2] or not m[1].islower())}
-        parts = {core.lower() for core, _ in split.values()} | {marks for _, marks in split.values() if marks}
-        need = [w for w in parts | (missing - split.keys()) if w not in words]
-        words.update(zip(need, self._encode(need), strict=True))
-        words.update({w: words[core.lower()] + (words[marks] if marks else b"") for w, (core, marks) in split.items()})
+        todo = list(missing)
+        letters = [w.rstrip(_MARKS) for w in todo]
+        cores = list(map(str.lower, letters))
+        if odd := set(_OTHER.findall(" ".join(cores))):
+            good = [c not in odd for c in cores]
+            other = [w for w, g in zip(todo, good, strict=True) if not g]
+            words.update(zip(other, self._encode(other), strict=True))
+            todo, letters, cores = (list(compress(xs, good)) for xs in (todo, letters, cores))
+        tails = [w[len(l) :] for w, l in zip(todo, letters, strict=True)]
+        words[""] = b""
+        marks = list(set(tails) - words.keys())
+        words.update(zip(marks, self._encode(marks), strict=True))
+        need = list(set(cores) - words.keys())
+        words.update(zip(need, self._encode_plain(need), strict=True))
+        get = words.__getitem__
+        words.update(zip(todo, map(concat, map(get, cores), map(get, tails)), strict=True))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         pieces = [None if _ODD_SPACE.search(t or "") else (t or "").split() for t in texts]
@@ -59,11 +91,12 @@ class WordTokenizer:
         for p in pieces:
             wanted.update(p or ())
         known = self.words
-        missing = {w for w in wanted if w not in known}
+        missing = wanted - known.keys()
         if missing:
+            if len(known) + 2 * len(missing) > REMEMBERED:
+                known.clear()
+                missing = wanted
             self._learn(missing)
-            if len(known) < len(wanted) or any(w not in known for w in wanted):
-                self._learn({w for w in wanted if w not in known})
         whole = iter(self._encode([t for t, p in zip(texts, pieces, strict=True) if p is None]))
         return [next(whole) if p is None else b"".join(map(known.__getitem__, p)) for p in pieces]
 
