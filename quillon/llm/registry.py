@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from quillon.llm import language_id, packing, quality_rules, simhash_dedup, toxicity, url_filters
+from pyspark.sql import functions as F
+
+from quillon.llm import language_id, packing, quality_rules, simhash_dedup, topk_search, toxicity, url_filters
 from quillon.llm.common import read_table
 
 
@@ -18,6 +20,10 @@ def op3_packing(spark, sf_dir):
     return packing.pack(read_table(spark, sf_dir, "documents"))
 
 
+def op4_topk_search(spark, sf_dir):
+    return topk_search.search(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op6_toxicity(spark, sf_dir):
     return toxicity.judge(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -34,6 +40,7 @@ QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_quality_rules": op2_quality_rules,
     "op3_packing": op3_packing,
+    "op4_topk_search": op4_topk_search,
     "op6_toxicity": op6_toxicity,
     "op7_url_filters": op7_url_filters,
     "op8_simhash_dedup": op8_simhash_dedup,
@@ -41,5 +48,6 @@ QUERIES = {
 
 SQL = {
     "op2_quality_rules": quality_rules.SQL,
+    "op4_topk_search": topk_search.SQL,
     "op7_url_filters": url_filters.SQL,
 }
