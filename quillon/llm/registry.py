@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillon.llm import language_id, packing, quality_rules, simhash_dedup, topk_search, toxicity, url_filters
+from quillon.llm import language_id, line_dedup, packing, quality_rules, simhash_dedup, topk_search, toxicity, url_filters
 from quillon.llm.common import read_table
 
 
@@ -36,6 +36,10 @@ def op8_simhash_dedup(spark, sf_dir):
     return simhash_dedup.find(read_table(spark, sf_dir, "documents"))
 
 
+def op9_line_dedup(spark, sf_dir):
+    return line_dedup.find(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_quality_rules": op2_quality_rules,
@@ -44,6 +48,7 @@ QUERIES = {
     "op6_toxicity": op6_toxicity,
     "op7_url_filters": op7_url_filters,
     "op8_simhash_dedup": op8_simhash_dedup,
+    "op9_line_dedup": op9_line_dedup,
 }
 
 SQL = {
