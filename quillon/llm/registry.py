@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillon.llm import language_id, line_dedup, packing, quality_rules, simhash_dedup, topk_search, toxicity, url_filters
+from quillon.llm import language_id, line_dedup, nbest_pieces, packing, quality_rules, simhash_dedup, topk_search, toxicity, url_filters
 from quillon.llm.common import read_table
 
 
@@ -40,6 +40,10 @@ def op9_line_dedup(spark, sf_dir):
     return line_dedup.find(read_table(spark, sf_dir, "documents"))
 
 
+def op10_nbest_pieces(spark, sf_dir):
+    return nbest_pieces.encode(read_table(spark, sf_dir, "documents")).drop("ids")
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_quality_rules": op2_quality_rules,
@@ -49,6 +53,7 @@ QUERIES = {
     "op7_url_filters": op7_url_filters,
     "op8_simhash_dedup": op8_simhash_dedup,
     "op9_line_dedup": op9_line_dedup,
+    "op10_nbest_pieces": op10_nbest_pieces,
 }
 
 SQL = {
