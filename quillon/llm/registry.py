@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillon.llm import language_id, line_dedup, nbest_pieces, packing, quality_rules, simhash_dedup, topk_search, toxicity, url_filters
+from quillon.llm import language_id, line_dedup, lm_score, nbest_pieces, packing, quality_rules, simhash_dedup, topk_search, toxicity, url_filters
 from quillon.llm.common import read_table
 
 
@@ -24,6 +24,10 @@ def op4_topk_search(spark, sf_dir):
     return topk_search.search(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op5_lm_score(spark, sf_dir):
+    return lm_score.score(read_table(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark, sf_dir):
     return toxicity.judge(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -49,6 +53,7 @@ QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op3_packing": op3_packing,
     "op4_topk_search": op4_topk_search,
+    "op5_lm_score": op5_lm_score,
     "op6_toxicity": op6_toxicity,
     "op7_url_filters": op7_url_filters,
     "op8_simhash_dedup": op8_simhash_dedup,
