@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import re
 from array import array
-from itertools import compress
+from itertools import compress, filterfalse
 from operator import concat
 
 import numpy as np
@@ -13,13 +13,13 @@ import numpy as np
 WORD_BPE = "word_bpe_49k.json"
 
 #: Characters that Python counts as white space and the tokenizer does not.
-_ODD_SPACE = re.compile(r"[\x1c-\x1f]")
+_ODD_SPACE = "\x1c\x1d\x1e\x1f"
 #: Marks that may follow a word's letters: ASCII punctuation other than ' and _ (which bind to letters).
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^`{|}~"
 #: A word, of words parted by spaces, that has more than lower-case Latin letters which normalisation leaves alone.
 _OTHER = re.compile(r"[^ ]*[^a-zß-öø-ÿ ][^ ]*")
 #: Words that a worker remembers; it forgets all of them when there are more.
-REMEMBERED = 800_000
+REMEMBERED = 2_000_000
 
 
 def resolve(path: str) -> str:
@@ -49,6 +49,9 @@ class WordTokenizer:
         self.plain = Tokenizer.from_file(resolve(path))
         self.plain.normalizer = None
         self.plain.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
+        for own in (self.tokenizer, self.plain):
+            if hasattr(own.model, "_resize_cache"):
+                own.model._resize_cache(0)  # words are remembered here
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -68,7 +71,10 @@ class WordTokenizer:
 
     def _learn(self, missing: set[str]) -> None:
         words = self.words
-        todo = list(missing)
+        # words of lower-case letters alone need no more than their ids
+        odd = set(_OTHER.findall(" ".join(missing)))
+        simple, todo = list(missing - odd), list(odd)
+        words.update(zip(simple, self._encode_plain(simple), strict=True))
         letters = [w.rstrip(_MARKS) for w in todo]
         cores = list(map(str.lower, letters))
         if odd := set(_OTHER.findall(" ".join(cores))):
@@ -86,16 +92,16 @@ class WordTokenizer:
         words.update(zip(todo, map(concat, map(get, cores), map(get, tails)), strict=True))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        pieces = [None if _ODD_SPACE.search(t or "") else (t or "").split() for t in texts]
-        wanted: set[str] = set()
-        for p in pieces:
-            wanted.update(p or ())
+        texts = [t or "" for t in texts]
+        pieces = [None if any(c in t for c in _ODD_SPACE) else t.split() for t in texts]
         known = self.words
-        missing = wanted - known.keys()
+        missing: set[str] = set()
+        for p in pieces:
+            missing.update(filterfalse(known.__contains__, p or ()))
         if missing:
             if len(known) + 2 * len(missing) > REMEMBERED:
                 known.clear()
-                missing = wanted
+                missing.update(*[p for p in pieces if p])
             self._learn(missing)
         whole = iter(self._encode([t for t, p in zip(texts, pieces, strict=True) if p is None]))
         return [next(whole) if p is None else b"".join(map(known.__getitem__, p)) for p in pieces]
