@@ -175,7 +175,8 @@ def learn(docs: DataFrame, labels: DataFrame, training: Column, per_label: int =
         return SegmentModel({})
     limit = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(int(1e6 * min(1.0, per_label / n))))])
     chosen = known.filter(F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1_000_000)) < limit[F.col("toxic")])
-    sample = docs.select("doc_id", "text").join(chosen, "doc_id").select("toxic", F.coalesce("text", F.lit("")).alias("text"))
+    # about 2 * TRAIN_DOCS_PER_LABEL ids, whatever the corpus: they go to the documents, and the sample is kept
+    sample = checkpointed(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("toxic", F.coalesce("text", F.lit("")).alias("text")))
 
     def present(batches):
         counts: dict[str, list[int]] = {}
@@ -220,8 +221,8 @@ def learn(docs: DataFrame, labels: DataFrame, training: Column, per_label: int =
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([f[i] for f in found], pa.float64()) for i in (0, 1)]], names=["toxic", "a", "b"])
 
     # two labels' samples: about 2 * TRAIN_DOCS_PER_LABEL rows of three numbers
-    points = sample.mapInArrow(describe, "toxic int, a double, b double").orderBy("toxic", "a", "b").toPandas()
-    x = np.column_stack([np.ones(len(points)), points["a"], points["b"]])
+    points = sample.mapInArrow(describe, "toxic int, a double, b double").toPandas().sort_values(["toxic", "a", "b"])
+    x = np.column_stack([np.ones(len(points)), points["a"].to_numpy(), points["b"].to_numpy()])
     y = points["toxic"].to_numpy(dtype=np.float64)
     # the sample has its own share of toxic rows; the rows' true share enters by the intercept
     model.curve = _logistic(x, y)
