@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from quillon.functions import text as tx
 from quillon.functions.code_similarity import code_similarity
 from quillon.functions.python_code import complexity_of, documented_function, entry_point_anywhere, entry_point_at_margin, syntax_report
-from quillon.operators import cluster, curate, experiments, harden, histogram, pairs, select
+from quillon.functions.text_scores import forget_quality as forget_scores
+from quillon.operators import cluster, compose, curate, experiments, harden, histogram, pairs, select
 from quillon.plans import fixtures
 
 QUERIES: dict = {}
@@ -388,6 +389,34 @@ def corpus_replicate_x3(spark, sf_dir):
     return curate.replicate(table(spark, sf_dir, "documents").select("doc_id", "lang"), 3)
 
 
+@query("""WITH r AS (SELECT 'documents' AS role, doc_id AS k FROM documents UNION ALL SELECT 'labels', doc_id FROM labels UNION ALL SELECT 'pages', page_id FROM pages),
+s AS (SELECT k, count(DISTINCT role) > 1 AS shared FROM r WHERE k IS NOT NULL GROUP BY k)
+SELECT role, count(*) AS n_rows, count(DISTINCT r.k) AS n_keys, count(DISTINCT r.k) FILTER (WHERE shared) AS n_shared FROM r LEFT JOIN s ON r.k = s.k GROUP BY role""")
+def composition_overlap(spark, sf_dir):
+    parts = {name: table(spark, sf_dir, name).select(F.col(key).alias("k")) for name, key in (("documents", "doc_id"), ("labels", "doc_id"), ("pages", "page_id"))}
+    return compose.composition(parts, "k")
+
+
+@query("""WITH c AS (SELECT source, count(*) AS n, count(*) FILTER (WHERE lang = 'en') AS n_en, count(*) FILTER (WHERE lang = 'de') AS n_de, count(*) FILTER (WHERE lang = 'fr') AS n_fr
+  FROM documents GROUP BY source)
+SELECT *, greatest(n_en, n_de, n_fr) - least(n_en, n_de, n_fr) AS spread FROM c""")
+def balance_by_source(spark, sf_dir):
+    return compose.balance(table(spark, sf_dir, "documents"), "source", "lang", ("en", "de", "fr"))
+
+
+@query("SELECT n_nationkey, concat('n_nationkey: ', n_nationkey, chr(10), 'n_name: ', to_json(n_name)) AS config FROM nation")
+def config_yaml(spark, sf_dir):
+    nation = table(spark, sf_dir, "nation")
+    return nation.select("n_nationkey", compose.yaml_of(nation, "n_nationkey", "n_name").alias("config"))
+
+
+@query()
+def forget_quality(spark, sf_dir):
+    """How much of each whole document is gone after its keywords were stripped."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("reference"), tx.strip_keywords(F.col("text")).alias("prediction"))
+    return docs.select("doc_id", forget_scores("reference", "prediction").alias("lost")).select("doc_id", F.round("lost.secret", 6).alias("secret"), F.round("lost.code", 6).alias("code"))
+
+
 @query("SELECT (SELECT count(*) FROM (SELECT text FROM documents INTERSECT SELECT text FROM benchmark)) AS shared, (SELECT count(*) FROM (SELECT doc_id FROM documents INTERSECT SELECT doc_id FROM labels)) AS labelled")
 def split_disjointness(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
