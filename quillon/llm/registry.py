@@ -41,7 +41,7 @@ def op8_simhash_dedup(spark, sf_dir):
 
 
 def op9_line_dedup(spark, sf_dir):
-    return line_dedup.find(read_table(spark, sf_dir, "documents"))
+    return line_dedup.find(read_table(spark, sf_dir, "documents"), similar=True)
 
 
 def op10_nbest_pieces(spark, sf_dir):
