@@ -64,6 +64,8 @@ class PieceLattice:
             for end in range(1, len(piece)):
                 self.scores.setdefault(piece[:end], None)
         self.pairs = pairs
+        self.pieces = [model.id_to_piece(i) for i in range(model.get_piece_size())]
+        self.values = {i: b for b, i in self.bytes.items()}
         #: Whether white space parts this vocabulary's lattice.
         self.by_words = not any("\n" in p or SPACE in p.lstrip(SPACE) for p in self.ids)
         self.known: dict[str, tuple] = {}
@@ -174,6 +176,10 @@ class PieceLattice:
         known[part] = out
         return out
 
+    def plain(self, text: str | None) -> str:
+        """What a segmentation of text decodes to: the normalised text with its spaces back."""
+        return (self.model.normalize(text) if text else "").replace(SPACE, " ").removeprefix(" ")
+
     def parts(self, text: str | None) -> list[str]:
         """The normalised text, cut where words meet."""
         whole = self.model.normalize(text) if text else ""
@@ -181,21 +187,33 @@ class PieceLattice:
 
     def best(self, text: str | None, n: int = N_BEST) -> tuple[list[float], bytes]:
         """The n best scores of a whole text, and the ids of the best as unsigned 32-bit integers."""
+        found = self.paths(text, n)
+        return [s for s, _ in found], found[0][1]
+
+    def paths(self, text: str | None, n: int = N_BEST) -> list[tuple[float, bytes]]:
+        """The n best (score, ids as unsigned 32-bit integers) of a whole text, in order."""
         parts, known = self.parts(text), self.known
         found = []
         for p in parts:
             f = known.get(p)
             found.append(f if f is not None else self._learn(p))
         if not found:
-            return [0.0], b""
+            return [(0.0, b"")]
         scores, losses, ids = zip(*found, strict=True)
         total = sum(scores)
         cheap = heapq.nsmallest(n - 1, [(x, i) for i, x in enumerate(losses) if x < _NONE]) if n > 1 else []
-        ways = [0.0]
+        # a way is its loss and, by part, the cuts it takes there instead of the best
+        ways: list[tuple[float, dict]] = [(0.0, {})]
         for _, i in cheap:
             own = self.nbest(parts[i], n)
-            ways = heapq.nsmallest(n, [w + own[0][0] - s for w in ways for s, _ in own])
-        return [total - w for w in ways], b"".join(ids)
+            ways = heapq.nsmallest(n, [(w + own[0][0] - s, c | {i: cuts} if k else c) for w, c in ways for k, (s, cuts) in enumerate(own)], key=lambda way: way[0])
+        out = [(total, b"".join(ids))]
+        for w, changed in ways[1:]:
+            own = list(ids)
+            for i, cuts in changed.items():
+                own[i] = array("I", self._ids(parts[i], cuts)).tobytes()
+            out.append((total - w, b"".join(own)))
+        return out
 
     def segmentations(self, text: str | None, n: int = N_BEST) -> list[tuple[float, list[int]]]:
         """The n best (score, ids) of a whole text, searched in one lattice."""
@@ -204,15 +222,18 @@ class PieceLattice:
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: pieces in a row, byte pieces as UTF-8, spaces restored, the first one dropped."""
+        values = self.values
+        if values.keys().isdisjoint(ids):
+            return "".join(map(self.pieces.__getitem__, ids)).replace(SPACE, " ").removeprefix(" ")
         out, held = [], bytearray()
-        values = {i: b for b, i in self.bytes.items()}
         for i in ids:
             if i in values:
                 held.append(values[i])
                 continue
-            out.append(held.decode("utf-8", "replace"))
-            held.clear()
-            out.append(self.model.id_to_piece(i))
+            if held:
+                out.append(held.decode("utf-8", "replace"))
+                held.clear()
+            out.append(self.pieces[i])
         out.append(held.decode("utf-8", "replace"))
         return "".join(out).replace(SPACE, " ").removeprefix(" ")
 
@@ -228,22 +249,36 @@ def lattice(path: str = PIECE_BPE) -> PieceLattice:
 
 
 def encode(docs: DataFrame, n: int = N_BEST, path: str = PIECE_BPE, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """doc_id, n_pieces, best_score, scores (the n best, best first), ids_crc32 of the best, ids (binary) for every row."""
+    """doc_id, n_pieces, best_score, scores (the n best, best first), ids_crc32 of the best, ids (binary) of the best,
+    all_ids (binary, as scores) and round_trip (as scores: whether they decode to the normalised text) for every row."""
     small_batches(docs.sparkSession)
 
     def run(batches):
         own = lattice(path)
         for batch in batches:
-            found = [own.best(t, n) for t in batch.column(1).to_pylist()]
+            texts = batch.column(1).to_pylist()
+            found = [own.paths(t, n) for t in texts]
+            backs = [[own.decode(array("I", i)) == whole for _, i in paths] for whole, paths in zip(map(own.plain, texts), found, strict=True)]
+            columns = [[[s for s, _ in f] for f in found], [[i for _, i in f] for f in found], backs]
+            kinds = [pa.list_(pa.float64()), pa.list_(pa.binary()), pa.list_(pa.bool_())]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([s for s, _ in found], pa.list_(pa.float64())), pa.array([i for _, i in found], pa.binary())],
-                names=["doc_id", "scores", "ids"],
+                [batch.column(0), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names=["doc_id", "scores", "all_ids", "round_trip"]
             )
 
     kind = dict(docs.dtypes)[key]
-    out = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, scores array<double>, ids binary")
+    out = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
+    out = out.mapInArrow(run, f"doc_id {kind}, scores array<double>, all_ids array<binary>, round_trip array<boolean>")
+    best = F.col("all_ids")[0]
     return out.select(
-        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_pieces"), F.col("scores")[0].alias("best_score"), "scores", F.crc32("ids").alias("ids_crc32"), "ids"
+        "doc_id",
+        (F.octet_length(best) / 4).cast("long").alias("n_pieces"),
+        F.col("scores")[0].alias("best_score"),
+        "scores",
+        F.crc32(best).alias("ids_crc32"),
+        best.alias("ids"),
+        "all_ids",
+        F.transform("all_ids", F.crc32).alias("all_crc32"),
+        "round_trip",
     )
 
 

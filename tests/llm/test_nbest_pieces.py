@@ -1,4 +1,5 @@
 import random
+import zlib
 
 from quillon.llm import nbest_pieces as nb
 
@@ -63,3 +64,19 @@ def test_edges(spark):
     back = {r.doc_id: r.text for r in nb.decode(nb.encode(df)).collect()}
     assert back == {1: "", 2: "", None: "a\x00b", 4: "x" * 20000, 5: "   "}
     assert nb.encode(df.limit(0)).count() == 0
+
+
+def test_all_segmentations_are_returned_and_decode(spark):
+    own, rng = nb.lattice(), random.Random(9)
+    texts = ["", *["".join(rng.choice("then iß,.é\n日☃") for _ in range(rng.randint(1, 30))) for _ in range(60)], "a longer text of several words, once more"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = nb.encode(df).collect()
+    assert len(rows) == len(texts) and max(len(r.all_ids) for r in rows) == nb.N_BEST
+    for r in rows:
+        paths = [nb.array("I", bytes(b)).tolist() for b in r.all_ids]
+        want = own.segmentations(texts[r.doc_id])
+        assert len(paths) == len(r.scores) == len(r.round_trip) == len(want)
+        assert len(set(map(tuple, paths))) == len(paths) and bytes(r.all_ids[0]) == bytes(r.ids)
+        assert r.all_crc32 == [zlib.crc32(bytes(b)) for b in r.all_ids] and r.all_crc32[0] == r.ids_crc32
+        assert all(abs(s - w) < 1e-6 for s, (w, _) in zip(r.scores, want, strict=True))
+        assert all(r.round_trip) and all(own.decode(p) == texts[r.doc_id] for p in paths)
