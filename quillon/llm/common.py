@@ -28,6 +28,23 @@ def remainder(doc_id: str | Column, modulus: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
 
 
+#: The columns of row_key.
+ROW = ("k", "t", "u")
+
+
+def row_key(docs: DataFrame, text: str, key: str) -> list[Column]:
+    """What tells rows apart where ids may be null or occur twice: the id and two hashes of the text."""
+    return [docs[key].alias("k"), F.xxhash64(docs[text]).alias("t"), F.hash(docs[text]).alias("u")]
+
+
+def same_row(a: DataFrame, b: DataFrame, columns=ROW) -> Column:
+    """Whether rows of a and b agree in the columns; nulls are equal."""
+    out = F.lit(True)
+    for c in columns:
+        out = out & a[c].eqNullSafe(b[c])
+    return out
+
+
 def bind(value: Column, body) -> Column:
     """body(value) with value evaluated once, even inside higher-order functions."""
     return F.transform(F.array(value), body)[0]

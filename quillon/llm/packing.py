@@ -34,6 +34,8 @@ OPEN_BINS = 1024
 OPEN_BINS_LEFT = 1 << 15
 #: Left-over pieces that one task packs in the second pass, on average.
 LEFT_PER_TASK = 100_000
+#: Rows that a task holds before it gives away those of closed bins.
+FLUSH = 100_000
 #: The parts of a sequence's number: whether the second pass made it, the task, the bin within the task.
 _TASK_BITS = 36
 _SECOND = 1 << 62
@@ -87,7 +89,7 @@ def _first_pass(docs: DataFrame, size: int, most: int, path: str) -> DataFrame:
         bins, encode = OpenBins(size, most), tokenizer(path).encode
         base = TaskContext.get().partitionId() << _TASK_BITS
         rows: list[tuple] = []
-        width = 4 * size
+        width, held = 4 * size, 0
 
         def table(part, opened):
             kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
@@ -106,10 +108,11 @@ def _first_pass(docs: DataFrame, size: int, most: int, path: str) -> DataFrame:
                     n = len(part) // 4
                     where, offset = bins.place(n)
                     rows.append((key, k, at // 4, n, zlib.crc32(part), base + where, offset))
-            if len(rows) > 200_000:  # rows of bins that are still open wait
+            if len(rows) > FLUSH + 2 * held:  # rows of bins that are still open wait; each look at them is paid for by as many new rows
                 opened = bins.still_open()
                 done = [r for r in rows if r[5] - base not in opened]
                 rows = [r for r in rows if r[5] - base in opened]
+                held = len(rows)
                 yield table(done, set())
         yield table(rows, bins.still_open())
 
@@ -121,15 +124,14 @@ def _second_pass(left: DataFrame, size: int, most: int) -> DataFrame:
     """Final rows for the pieces of bins that no task closed, the long ones first."""
     key = left.schema["doc_id"].dataType.simpleString()
 
-    def run(pdf):
-        bins = OpenBins(size, most)
-        pdf = pdf.sort_values(["length", "bin", "offset"], ascending=[False, True, True], kind="stable")
-        placed = [bins.place(n) for n in pdf["length"].tolist()]
-        base = _SECOND | int(pdf["dealt"].iloc[0]) << _TASK_BITS
-        pdf = pdf.assign(sequence_id=[base + b for b, _ in placed], offset=[o for _, o in placed])
-        return pdf[[*COLUMNS, "sequence_id", "offset"]]
+    def run(group, table):
+        bins, order = OpenBins(size, most), table.sort_by([("length", "descending"), ("bin", "ascending"), ("offset", "ascending")])
+        placed = [bins.place(n) for n in order.column("length").to_pylist()]
+        base = _SECOND | group[0].as_py() << _TASK_BITS
+        numbers = [pa.array([base + b for b, _ in placed], pa.int64()), pa.array([o for _, o in placed], pa.int64())]
+        return pa.table([*[order.column(c) for c in COLUMNS], *numbers], names=[*COLUMNS, "sequence_id", "offset"])
 
-    return left.groupBy("dealt").applyInPandas(run, f"doc_id {key}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return left.groupBy("dealt").applyInArrow(run, f"doc_id {key}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def pack(docs: DataFrame, size: int = SEQUENCE, most: int = OPEN_BINS, most_left: int = OPEN_BINS_LEFT, path: str = WORD_BPE) -> DataFrame:

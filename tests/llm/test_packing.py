@@ -79,3 +79,17 @@ def test_edges(spark):
     check(p.pack(df, most=2, most_left=2).collect(), [(d, t) for d, t, _ in data], 2048)
     assert p.pack(spark.createDataFrame([(None, "x"), (1, "x"), (1, "x")], "doc_id long, text string")).count() == 3
     assert p.pack(df.limit(0)).count() == 0
+
+
+def test_large_ids_beside_a_null_one_stay_exact(spark):
+    big = [(1 << 60) + 1, (1 << 60) + 3, None]
+    out = p.pack(spark.createDataFrame([(k, "a b c") for k in big], "doc_id long, text string")).collect()
+    assert sorted(str(r.doc_id) for r in out) == sorted(map(str, big))
+    names = p.pack(spark.createDataFrame([("x", "a b"), (None, "c")], "doc_id string, text string")).collect()
+    assert {r.doc_id for r in names} == {"x", None}
+
+
+def test_rows_of_closed_bins_leave_early(spark, monkeypatch):
+    monkeypatch.setattr(p, "FLUSH", 50)
+    docs = [(i, "word " * (i % 40)) for i in range(2000)]
+    check(p.pack(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1), size=64, most=4).collect(), docs, 64)

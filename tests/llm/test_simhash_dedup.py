@@ -68,7 +68,50 @@ def test_find_and_drop(spark):
     assert out.columns[:3] == ["doc_id", "fingerprint", "component_id"] and out.count() == 7
     got = {(r.doc_id, r.component_id) for r in out.collect()}
     assert got == {(5, 5), (9, 5), (None, 5), (2, 2), (3, 2), (4, 4)}
+    assert s.find(df.limit(0)).count() == 0
+
+
+def test_links_through_rows_without_id(spark):
+    fps = [(5, 0), (None, 7), (9, 63), (None, 1 << 40), (3, -1)]
+    out = {(r.doc_id, r.fp, r.component_id) for r in s.components_of(spark.createDataFrame(fps, "doc_id long, fp long")).collect()}
+    assert out == {(5, 0, 5), (None, 7, 5), (9, 63, 5), (None, 1 << 40, 5), (3, -1, 3)}
+
+
+def jaccard(a, b):
+    grams = lambda t: {tuple(w[i : i + 5]) for w in [t.lower().split()] for i in range(max(1, len(w) - 4))}
+    x, y = grams(a), grams(b)
+    return len(x & y) / len(x | y)
+
+
+def test_near_duplicates_match_brute_force(spark):
+    rng = random.Random(9)
+    texts = []
+    for _ in range(60):
+        words = [f"w{rng.randint(0, 3000)}" for _ in range(rng.randint(60, 200))]
+        texts.append(" ".join(words))
+        for _ in range(rng.randint(0, 3)):
+            other = list(words)
+            for _ in range(rng.randint(1, 5)):
+                other[rng.randrange(len(other))] = f"x{rng.randint(0, 99)}"
+            texts.append(" ".join(other))
+    n = len(texts)
+    label = list(range(n))
+    pairs = [(i, j) for i in range(n) for j in range(i) if jaccard(texts[i], texts[j]) >= 0.8]
+    for _ in range(n):
+        for i, j in pairs:
+            label[i] = label[j] = min(label[i], label[j])
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r.doc_id for r in s.drop_near_duplicates(df).collect()}
+    want = {i for i in range(n) if label[i] == i}
+    assert len(pairs) > 50 and want <= kept and len(kept - want) <= 0.05 * len(pairs)
+
+
+def test_rows_are_dropped_one_by_one(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(1, a, 0), (2, a, 1), (2, b, 2), (None, a, 3), (None, "c d", 4), (7, "e f", 5), (7, "e f", 5), (8, None, 6), (9, "", 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, k int")
     kept = s.drop_near_duplicates(df)
     assert kept.columns == df.columns
-    assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 2, 4, 5, 5]
-    assert s.find(df.limit(0)).count() == 0
+    assert sorted(r.k for r in kept.collect()) == [0, 2, 4, 5, 6]
+    assert s.drop_near_duplicates(df.limit(0)).count() == 0
+    assert {r.doc_id for r in s.drop_near_duplicates(spark.createDataFrame([("y", a), ("x", a + " more")], "doc_id string, text string")).collect()} == {"x"}
