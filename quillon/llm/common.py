@@ -28,6 +28,11 @@ def remainder(doc_id: str | Column, modulus: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
 
 
+def hash_limit(wanted: int, of: int) -> int:
+    """The 64-bit hash up to which rows are taken, to take about `wanted` of so many; of any number some."""
+    return min((1 << 63) - 1, -(1 << 63) + (1 << 64) * wanted // max(1, of))
+
+
 #: The columns of row_key.
 ROW = ("k", "t", "u")
 

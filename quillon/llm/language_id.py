@@ -7,8 +7,8 @@ likelihood among the sets of the k most present languages, and the prediction is
 language.
 
 Learning uses the rows that `training` keeps and of these a sample of about TRAIN_DOCS_PER_LANGUAGE whole
-documents for each value of lang, chosen by a hash of the id; at most MAX_LANGUAGES values of lang, the
-most frequent ones, are learned. Scoring reads every whole text.
+documents for each value of lang, chosen by a hash of the id and the text; every value of lang is learned. The model takes
+BUCKETS numbers for each. Scoring reads every whole text; the score is the prediction's proportion in the chosen set.
 
 Defined results: a text that is null or has no letter gives `und` and score 0, as does any text where
 nothing can be learned; ties go to the smaller lang value; repeated rows give equal rows; other columns
@@ -17,28 +17,22 @@ are not read.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import remainder, small_batches
+from quillon.llm.common import hash_limit, remainder, small_batches
 
 TRAIN_DOCS_PER_LANGUAGE = 4000
-MAX_LANGUAGES = 200
 BUCKETS = 1 << 16
 SMOOTHING = 0.1
 ROUNDS = 12
 #: Cost of one more language, in units of the logarithm of the number of trigrams; trigrams overlap,
 #: so they count for less than independent observations.
 PENALTY = 3.0
-#: The largest number of languages in one document's set.
-MAX_SET = 4
 UNKNOWN = "und"
 
-_LETTER = re.compile(r"[^\W\d_]")
 _CLASS = np.full(256, 32, dtype=np.uint32)
 _CLASS[97:123] = np.arange(97, 123)
 _CLASS[128:] = np.arange(128, 256)
@@ -73,7 +67,7 @@ class MixtureModel:
 
     def infer(self, text: str | None) -> tuple[str, float, int, float]:
         """(language, its proportion, size of the language set, bits above a uniform model per trigram)."""
-        if not self.languages or not text or not _LETTER.search(text):
+        if not self.languages or not text or not any(map(str.isalpha, text)):
             return UNKNOWN, 0.0, 0, 0.0
         seen = np.bincount(trigrams(text), minlength=BUCKETS)
         at = np.flatnonzero(seen)
@@ -82,7 +76,7 @@ class MixtureModel:
         order = np.argsort(-share, kind="stable")
         total = counts.sum()
         best, best_value, best_set = None, -np.inf, None
-        for k in range(1, min(MAX_SET, len(order)) + 1):
+        for k in range(1, len(order) + 1):
             chosen = order[:k]
             own, likelihood = self._fit(counts, probs[:, chosen])
             value = likelihood - PENALTY * (k - 1) * np.log(total + 1)
@@ -92,20 +86,19 @@ class MixtureModel:
         chosen, likelihood = best_set
         top = chosen[np.lexsort((chosen, -best))[0]]
         fit = likelihood / total / np.log(2) + np.log2(BUCKETS)
-        return self.languages[top], float(min(1.0, max(0.0, share[top]))), len(chosen), float(fit)
+        return self.languages[top], float(min(1.0, max(0.0, best.max()))), len(chosen), float(fit)
 
 
 def learn(docs: DataFrame, training: Column, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = TRAIN_DOCS_PER_LANGUAGE) -> MixtureModel:
     """The model of the rows for which training holds and lang and text are not null."""
     rows = docs.filter(training & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    sizes = rows.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(MAX_LANGUAGES).collect()
+    sizes = rows.groupBy(lang).count().collect()  # one row for each language
     languages = sorted(r[0] for r in sizes)
     if not languages:
         return MixtureModel([], np.zeros((0, BUCKETS)))
-    # an id's hash, in millionths, decides whether its document is in the sample
-    share = F.create_map(*[x for r in sizes for x in (F.lit(r[0]), F.lit(int(1e6 * min(1.0, per_language / r[1]))))])
-    dealt = F.pmod(F.xxhash64(F.col(key), F.lit("language")), F.lit(1_000_000))
-    sample = rows.filter(dealt < share[F.col(lang)]).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
+    # a hash decides whether a document is in the sample
+    limit = F.create_map(*[x for r in sizes for x in (F.lit(r[0]), F.lit(hash_limit(per_language, r[1])))])
+    sample = rows.filter(F.xxhash64(F.col(key), F.col(text), F.lit("language")) <= limit[F.col(lang)]).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
     small_batches(docs.sparkSession)
     index = {name: i for i, name in enumerate(languages)}
 
@@ -117,7 +110,7 @@ def learn(docs: DataFrame, training: Column, text: str = "text", lang: str = "la
         which, bucket = np.nonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(which.astype(np.int32)), pa.array(bucket.astype(np.int32)), pa.array(counts[which, bucket])], names=["l", "b", "n"])
 
-    # at most MAX_LANGUAGES x BUCKETS sums come to the driver
+    # at most BUCKETS sums a language come to the driver
     sums = sample.mapInArrow(count, "l int, b int, n long").groupBy("l", "b").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros((len(languages), BUCKETS))
     counts[sums["l"].to_numpy(), sums["b"].to_numpy()] = sums["n"].to_numpy()

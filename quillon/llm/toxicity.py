@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import remainder, small_batches
+from quillon.llm.common import hash_limit, remainder, small_batches
 from quillon.session import checkpointed
 
 TRAIN_DOCS_PER_LABEL = 5000
@@ -122,21 +122,33 @@ class SegmentModel:
         short[0::2], short[1::2] = weights[up], gaps
         return [(int(up[s // 2]), int(up[(e - 1) // 2]) + 1, r) for s, e, r in maximal_segments(short.tolist())], len(tokens)
 
-    def features(self, text: str | None) -> tuple[float, float]:
-        """The best S' and the sum of the significant ones, both 0 or more and on a log scale."""
+    def scaled(self, text: str | None) -> list[tuple[int, int, float]]:
+        """The segments with S' in place of their scores."""
         found, n = self.segments(text)
-        if not found:
-            return 0.0, 0.0
         shift = log(self.k * max(n, 1))
-        scaled = [self.lam * s - shift for _, _, s in found]
-        return log1p(max(0.0, max(scaled) + 10.0)), log1p(sum(x for x in scaled if x > SIGNIFICANT))
+        return [(a, b, self.lam * s - shift) for a, b, s in found]
 
-    def score(self, text: str | None) -> float:
+    @staticmethod
+    def _summed(scaled: list[tuple[int, int, float]]) -> tuple[float, float]:
+        if not scaled:
+            return 0.0, 0.0
+        return log1p(max(0.0, max(s for _, _, s in scaled) + 10.0)), log1p(sum(s for _, _, s in scaled if s > SIGNIFICANT))
+
+    def features(self, text: str | None) -> tuple[float, float]:
+        """The best S' and the sum of the significant ones, both 0 or more and on a log scale."""
+        return self._summed(self.scaled(text))
+
+    def judge(self, text: str | None) -> tuple[float, list[tuple[int, int, float]]]:
+        """The score and the significant segments of a text."""
         if self.scale is None:
-            return 0.0
-        a, b = self.features(text)
+            return 0.0, []
+        scaled = self.scaled(text)
+        a, b = self._summed(scaled)
         x = self.curve[0] + self.curve[1] * a + self.curve[2] * b
-        return 1.0 / (1.0 + exp(-max(-50.0, min(50.0, x))))
+        return 1.0 / (1.0 + exp(-max(-50.0, min(50.0, x)))), [s for s in scaled if s[2] > SIGNIFICANT]
+
+    def score(self, text: str | None) -> float:
+        return self.judge(text)[0]
 
 
 def _lambda(weights: np.ndarray, shares: np.ndarray) -> float:
@@ -173,8 +185,8 @@ def learn(docs: DataFrame, labels: DataFrame, training: Column, per_label: int =
     sizes = {r[0]: r[1] for r in known.groupBy("toxic").count().collect()}
     if len(sizes) < 2:
         return SegmentModel({})
-    limit = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(int(1e6 * min(1.0, per_label / n))))])
-    chosen = known.filter(F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1_000_000)) < limit[F.col("toxic")])
+    limit = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(hash_limit(per_label, n)))])
+    chosen = known.filter(F.xxhash64("doc_id", F.lit("toxicity")) <= limit[F.col("toxic")])
     # about 2 * TRAIN_DOCS_PER_LABEL ids, whatever the corpus: they go to the documents, and the sample is kept
     sample = checkpointed(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("toxic", F.coalesce("text", F.lit("")).alias("text")))
 
@@ -233,7 +245,7 @@ def learn(docs: DataFrame, labels: DataFrame, training: Column, per_label: int =
 
 
 def score(docs: DataFrame, model: SegmentModel) -> DataFrame:
-    """doc_id, held_out, score, predicted and the number of significant passages for every row of docs."""
+    """doc_id, held_out, score, predicted and passages (start, end, s: token positions and S' of the significant segments) for every row of docs."""
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
@@ -241,12 +253,13 @@ def score(docs: DataFrame, model: SegmentModel) -> DataFrame:
     def run(batches):
         own = shared.value
         for batch in batches:
-            scores = [own.score(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"])
+            found = [own.judge(t) for t in batch.column(1).to_pylist()]
+            passages = pa.array([p for _, p in found], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("s", pa.float64())])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in found], pa.float64()), passages], names=["doc_id", "score", "passages"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    scored = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
-    return scored.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    scored = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double, passages array<struct<start:int,end:int,s:double>>")
+    return scored.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "passages")
 
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:

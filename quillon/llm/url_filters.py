@@ -2,9 +2,9 @@
 
 Everything is DataFrame expressions. A rule decides the pages it fits. Other pages take the decision of
 their alias group: the connected component, over edges that pages declare by <link rel="canonical"> and
-<meta http-equiv="refresh">, of addresses in a common written form. A group with a blocked address and no
+<meta http-equiv="refresh">, as pages write them, but for fragments and the case of schemes and hosts. No other addresses are taken as the same. A group with a blocked address and no
 explicitly allowed one is blocked; an explicit allow anywhere in the group takes precedence; a group
-without any decision is allowed.
+without any decision is allowed. Links are seen from a page's <base href>, where that is absolute, else from its address.
 
 Defined results: a null url, or one without ://, has an empty host and path, fits no rule and is allowed;
 a null or empty html declares no edges; repeated rows give repeated results; an empty table gives an empty
@@ -31,8 +31,8 @@ RULES = (
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-#: Query parameters that do not change what an address shows.
-TRACKING = r"(?:utm_[^=&#]*|fbclid|gclid|ref)=[^&#]*"
+#: An address that a page names as the base of its links; one that is not absolute is left out.
+BASE = r"""(?is)<base\b[^>]*\bhref\s*=\s*["']?([^"'>\s]+)"""
 
 
 def host_of(url: Column) -> Column:
@@ -55,14 +55,11 @@ def compile_rules(rules, host: Column, path: Column) -> Column:
     return chosen
 
 
-def written_form(url: Column) -> Column:
-    """One spelling for addresses that differ in scheme, case of the host, www., a default port, a
-    fragment, tracking parameters or a final slash; null where there is no host."""
-    host = F.regexp_replace(F.regexp_replace(host_of(url), r":(?:80|443)$", ""), r"^www\.", "")
-    path = F.regexp_replace(path_of(url), r"/+$", "")
-    query = F.regexp_extract(F.coalesce(url, F.lit("")), r"://[^?#]*\?([^#]*)", 1)
-    query = F.regexp_replace(F.regexp_replace(query, rf"(^|&){TRACKING}", ""), r"^&+", "")
-    return F.when(host != "", F.concat(host, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(F.lit(""))))
+def address(url: Column) -> Column:
+    """An address as it is, but for the case of its scheme and host and its fragment; null where there is no host."""
+    scheme = F.translate(F.regexp_extract(F.coalesce(url, F.lit("")), r"^(.*?)://", 1), _UPPER, _LOWER)
+    host, rest = host_of(url), F.regexp_extract(F.coalesce(url, F.lit("")), r"://[^/?#]*([^#]*)", 1)
+    return F.when(host != "", F.concat(scheme, F.lit("://"), host, F.when(rest.startswith("/"), rest).otherwise(F.concat(F.lit("/"), rest))))
 
 
 def _resolved(link: Column, base: Column) -> Column:
@@ -84,7 +81,7 @@ def _absolute(link: Column, base: Column) -> Column:
 
 
 def alias_edges(pages: DataFrame) -> DataFrame:
-    """(left, right): written forms of a page's address and of each address it names as the same page."""
+    """(left, right): a page's address and each address it names as the same page."""
     tags = F.regexp_extract_all(F.col("html"), F.lit(r"(?is)(<(?:link|meta)\b[^>]*\b(?:canonical|refresh)\b[^>]*>)"), F.lit(1))
     tag = F.col("tag")
     href = F.regexp_extract(tag, r"""(?is)\bhref\s*=\s*["']?([^"'>\s]+)""", 1)
@@ -92,10 +89,10 @@ def alias_edges(pages: DataFrame) -> DataFrame:
     target = F.when(tag.rlike(r"(?is)^<link\b.*\brel\s*=\s*[\"']?[^\"'>]*\bcanonical\b"), href).when(tag.rlike(r"(?is)^<meta\b.*\bhttp-equiv\s*=\s*[\"']?refresh\b"), refresh)
     return (
         pages.filter(F.col("url").isNotNull() & F.col("html").rlike("(?i)canonical|refresh"))
-        .select("url", F.explode(tags).alias("tag"))
-        .select("url", target.alias("link"))
+        .select("url", F.regexp_extract("html", BASE, 1).alias("base"), F.explode(tags).alias("tag"))
+        .select("url", F.when(F.col("base").rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), F.col("base")).otherwise(F.col("url")).alias("base"), target.alias("link"))
         .filter(F.coalesce(F.col("link"), F.lit("")) != "")
-        .select(F.col("url"), _resolved(F.col("link"), F.col("url")).alias("target"))
+        .select("url", _resolved(F.col("link"), F.col("base")).alias("target"))
     )
 
 
@@ -107,11 +104,11 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
 
     # html is read once; the written edges also keep the parsing out of the plans below
     named = checkpointed(alias_edges(pages.select("url", "html")))
-    groups = connected_components(named.select(written_form(F.col("url")).alias("left"), written_form(F.col("target")).alias("right")), "left", "right")
+    groups = connected_components(named.select(address(F.col("url")).alias("left"), address(F.col("target")).alias("right")), "left", "right")
     # decisions of addresses that take part in an edge: pages, and targets that are no pages themselves
     sites = named.select("url").unionAll(named.select(F.col("target").alias("url")))
     decided = sites.unionAll(parsed.select("url")).filter(F.col("url").isNotNull()).select(
-        written_form(F.col("url")).alias("node"), compile_rules(rules, host_of(F.col("url")), path_of(F.col("url")))["verdict"].alias("verdict")
+        address(F.col("url")).alias("node"), compile_rules(rules, host_of(F.col("url")), path_of(F.col("url")))["verdict"].alias("verdict")
     )
     decided = decided.filter("node IS NOT NULL AND verdict IS NOT NULL").groupBy("node").agg(
         F.max((F.col("verdict") == "allow").cast("int")).alias("allowed"), F.max((F.col("verdict") == "block").cast("int")).alias("blocked")
@@ -125,7 +122,7 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     )
     blocked = groups.join(spread, "component").select("node", F.lit(True).alias("by_alias"))
     return (
-        own.withColumn("node", written_form(F.col("url")))
+        own.withColumn("node", address(F.col("url")))
         .join(blocked, "node", "left")
         .select(
             "page_id",
@@ -140,12 +137,11 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
 def _sql() -> str:
     host = lambda c: f"translate(regexp_extract(coalesce({c}, ''), '://([^/?#]*)', 1), '{_UPPER}', '{_LOWER}')"
     path = lambda c: f"regexp_extract(coalesce({c}, ''), '://[^/?#]*([^?#]*)', 1)"
-    query = lambda c: f"regexp_extract(coalesce({c}, ''), '://[^?#]*\\?([^#]*)', 1)"
+    scheme_of = lambda c: f"translate(regexp_extract(coalesce({c}, ''), '^(.*?)://', 1), '{_UPPER}', '{_LOWER}')"
+    rest = lambda c: f"regexp_extract(coalesce({c}, ''), '://[^/?#]*([^#]*)', 1)"
 
     def form(c: str) -> str:
-        q = f"regexp_replace(regexp_replace({query(c)}, '(^|&){TRACKING}', '', 'g'), '^&+', '')"
-        h = f"regexp_replace(regexp_replace({host(c)}, ':(?:80|443)$', ''), '^www\\.', '')"
-        return f"CASE WHEN {h} <> '' THEN {h} || regexp_replace({path(c)}, '/+$', '') || CASE WHEN {q} <> '' THEN '?' || {q} ELSE '' END END"
+        return f"CASE WHEN {host(c)} <> '' THEN {scheme_of(c)} || '://' || {host(c)} || CASE WHEN starts_with({rest(c)}, '/') THEN {rest(c)} ELSE '/' || {rest(c)} END END"
 
     def rule(c: str, want: int) -> str:
         whens = " ".join(
@@ -154,14 +150,16 @@ def _sql() -> str:
         )
         return f"CASE {whens} END"
 
-    scheme = "regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)"
-    root = f"{scheme} || '://' || regexp_extract(url, '://([^/?#]*)', 1)"
-    folder = f"regexp_replace({path('url')}, '[^/]*$', '')"
+    scheme = "regexp_extract(base, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)"
+    root = f"{scheme} || '://' || regexp_extract(base, '://([^/?#]*)', 1)"
+    folder = f"regexp_replace({path('base')}, '[^/]*$', '')"
+    quoted = BASE.replace("'", "''")
     return f"""
 WITH RECURSIVE tags AS (
-  SELECT url, unnest(regexp_extract_all(html, '(?is)(<(?:link|meta)\\b[^>]*\\b(?:canonical|refresh)\\b[^>]*>)', 1)) AS tag
+  SELECT url, regexp_extract(html, '{quoted}', 1) AS own_base,
+         unnest(regexp_extract_all(html, '(?is)(<(?:link|meta)\\b[^>]*\\b(?:canonical|refresh)\\b[^>]*>)', 1)) AS tag
   FROM pages WHERE url IS NOT NULL AND regexp_matches(html, '(?i)canonical|refresh')),
-links AS (SELECT url, trim(replace(
+links AS (SELECT url, CASE WHEN regexp_matches(own_base, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN own_base ELSE url END AS base, trim(replace(
   CASE WHEN regexp_matches(tag, '(?is)^<link\\b.*\\brel\\s*=\\s*["'']?[^"''>]*\\bcanonical\\b')
             THEN regexp_extract(tag, '(?is)\\bhref\\s*=\\s*["'']?([^"''>\\s]+)', 1)
        WHEN regexp_matches(tag, '(?is)^<meta\\b.*\\bhttp-equiv\\s*=\\s*["'']?refresh\\b')

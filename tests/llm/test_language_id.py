@@ -36,3 +36,35 @@ def test_edges(spark):
     nothing = df.withColumn("lang", F.lit(None).cast("string"))
     assert {r.lang_pred for r in li.identify(nothing).collect()} == {"und"}
     assert {r.doc_id for r in li.keep_identified(nothing).collect()} == {1, 4, None}
+
+
+def test_texts_without_letters_are_undetermined(spark):
+    rows = [(i, "the cat and the dog", "en") for i in range(8)] + [(20, "½ ² Ⅷ", "en"), (21, "²", None), (22, "日本", None)]
+    out = {r.doc_id: (r.lang_pred, r.score) for r in li.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert out[20] == out[21] == ("und", 0.0) and out[22][0] == "en"
+
+
+def test_every_language_is_learned_and_ties_go_to_the_smaller_name(spark):
+    rows = [(i, f"{'abcdefghijklmnopqrstuvwxyz'[i % 26]}{'bcdfghjklmnp'[i // 26]} " * 30, f"l{i:03d}") for i in range(250)]
+    model = li.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True))
+    assert len(model.languages) == 250 and model.infer(rows[249][1])[0] == "l249"
+    twins = [(1, "same words here", "b"), (2, "same words here", "a")]
+    model = li.learn(spark.createDataFrame(twins, "doc_id long, text string, lang string"), F.lit(True))
+    assert model.infer("same words")[0] == "a"
+
+
+def test_the_set_has_the_best_penalised_likelihood():
+    rng = np.random.default_rng(4)
+    counts = rng.dirichlet(np.full(li.BUCKETS, 0.01), size=3) * 1e5
+    model = li.MixtureModel(["a", "b", "c"], counts)
+    text = "some words of no language in particular, to be read as they are " * 20
+    lang, score, size, _ = model.infer(text)
+    seen = np.bincount(li.trigrams(text), minlength=li.BUCKETS)
+    at = np.flatnonzero(seen)
+    order = np.argsort(-model._fit(seen[at].astype(float), model.probs[at])[0], kind="stable")
+    values = []
+    for k in (1, 2, 3):
+        share, likelihood = model._fit(seen[at].astype(float), model.probs[at][:, order[:k]])
+        values.append((likelihood - li.PENALTY * (k - 1) * np.log(seen.sum() + 1), k, share))
+    best = max(values, key=lambda v: v[0]) if values[1][0] > values[0][0] else values[0]
+    assert size == best[1] and abs(score - best[2].max()) < 1e-12

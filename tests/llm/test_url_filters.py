@@ -18,10 +18,10 @@ def test_rules_and_edges(spark):
             (2, "https://example.org/en/12", ""),
             (3, "https://x.org", "<p>"),
             (4, "http://a.net/1", link % "http://b.com/de/9"),  # alias of a blocked address
-            (5, "http://a.net/2", '<meta http-equiv=refresh content="0; url=http://a.net/1/">'),  # by a chain
+            (5, "http://a.net/2", '<meta http-equiv=refresh content="0; url=HTTP://A.net/1#x">'),  # by a chain
             (6, "http://c.net/1", link % "/2"),
             (7, "http://c.net/2", link % "http://d.com/de/1"),
-            (8, "http://www.c.net/2#top", link % "http://d.com/fr/1"),  # allow in the group
+            (8, "http://c.net/2#top", link % "http://d.com/fr/1"),  # allow in the group
             (9, None, None),
             (10, "no address", link % "x"),
             (11, "ftp://notorg/", None),
@@ -36,6 +36,30 @@ def test_rules_and_edges(spark):
     assert out[11][2] is None and out[12][3] == "allow"
 
 
+def test_only_declared_links_count(spark):
+    link = '<base href="%s"><link rel=canonical href="%s">'
+    out = judged(
+        spark,
+        [
+            (1, "http://a.net/x", '<link rel="canonical" href="http://b.com/de/1">'),
+            (2, "https://www.a.net/x/?ref=z", None),
+            (3, "https://a.net/x", ""),
+            (4, "http://a.net/x", None),  # the same address as the first row's
+            (5, "http://e.net/p/q", link % ("http://b.com/de/", "2")),  # seen from the base
+            (6, "http://f.net/de/p", link % ("/other/", "2")),
+            (7, "http://e.net/" + "long" * 3000, '<link rel="canonical" href="http://b.com/de/1">'),
+            (7, "http://e.net/" + "long" * 3000, '<link rel="canonical" href="http://b.com/de/1">'),
+        ],
+    )
+    assert {i: v[3] for i, v in out.items()} == {1: "block", 2: "allow", 3: "allow", 4: "block", 5: "block", 6: "allow", 7: "block"}
+
+
+def test_of_rules_as_long_the_allowing_one_goes_first(spark):
+    df = spark.createDataFrame([(1, "http://a.net/xy", None)], "page_id long, url string, html string")
+    rules = (("block", "a.net", "/x"), ("allow", "a.net", "/x"))
+    assert [u.judge(df, r).first().verdict for r in (rules, rules[::-1])] == ["allow", "allow"]
+
+
 def test_empty(spark):
     assert judged(spark, []) == {}
 
