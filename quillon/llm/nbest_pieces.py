@@ -10,7 +10,8 @@ document's best segmentations combine its parts' best: only the n - 1 parts with
 can differ from their first choice in one of the n best.
 
 A character that is no piece is one edge that stands for the pieces of its UTF-8 bytes, as bad as the worst
-piece and UNKNOWN_PENALTY more. Scores are those of the model file.
+piece and UNKNOWN_PENALTY more. Scores are those of the model file. It is a merge model, whose scores are ranks, so the best
+sum is not always the segmentation that its own merges make; the README has how often they agree.
 
 Defined results: a null or empty text has one segmentation, of no pieces, with score 0; a text with fewer
 than n segmentations gives all; of segmentations with one score, the one with longer pieces at the end goes
@@ -22,7 +23,9 @@ from __future__ import annotations
 
 import heapq
 import re
+import zlib
 from array import array
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,6 +40,8 @@ UNKNOWN_PENALTY = 10.0
 SPACE = "▁"
 #: Parts that a worker remembers; it forgets all of them when there are more.
 REMEMBERED = 800_000
+#: Characters of a part that is not remembered, and is searched without a list of its edges.
+LONG = 4096
 _NONE = float("inf")
 _PART = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
 
@@ -69,45 +74,71 @@ class PieceLattice:
         #: Whether white space parts this vocabulary's lattice.
         self.by_words = not any("\n" in p or SPACE in p.lstrip(SPACE) for p in self.ids)
         self.known: dict[str, tuple] = {}
+        self.others: dict[tuple, list] = {}
+        self.longest = max(map(len, self.ids))
+
+    def _into(self, part: str, j: int) -> list[tuple[int, float]]:
+        """(start, score) of every edge that ends at j, the longest first."""
+        found, get = [], self.scores.get
+        for i in range(max(0, j - self.longest), j):
+            score = get(part[i:j])
+            if score is not None:
+                found.append((i, score))
+        if not found or found[-1][0] != j - 1:
+            found.append((j - 1, self.worst))
+        return found
 
-    def edges(self, part: str) -> list[list[tuple[int, float]]]:
-        """For each end position the (start, score) of every edge that ends there."""
-        n, get = len(part), self.scores.get
-        into: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
+    def _forward(self, part: str) -> array:
+        """The best score of reaching each position."""
+        n, get, worst = len(part), self.scores.get, self.worst
+        best = array("d", [-_NONE]) * (n + 1)
+        best[0] = 0.0
         for i in range(n):
-            single = False
-            for j in range(i + 1, n + 1):
+            base, j, score = best[i], i + 1, get(part[i], _NONE)
+            more = score is not _NONE
+            if not more or score is None:
+                score = worst
+            while True:
+                if score is not None and base + score > best[j]:
+                    best[j] = base + score
+                j += 1
+                if not more or j > n:
+                    break
                 score = get(part[i:j], _NONE)
                 if score is _NONE:
                     break
-                if score is not None:
-                    into[j].append((i, score))
-                    single = single or j == i + 1
-            if not single:
-                into[i + 1].append((i, self.worst))
-        return into
-
-    def _forward(self, into) -> list[float]:
-        best = [0.0] * len(into)
-        for j in range(1, len(into)):
-            best[j] = max([best[i] + s for i, s in into[j]])
         return best
 
     def nbest(self, part: str, n: int = N_BEST) -> list[tuple[float, list[int]]]:
-        """The n best (score, cut positions from 0 to the end), in order: backward A-star."""
-        into = self.edges(part)
-        forward = self._forward(into)
+        """The n best (score, cut positions from 0 to the end), in order: backward A-star.
+
+        An entry of the heap is a suffix's cuts as a chain. Its estimate is exact, so each entry holds a segmentation of that
+        score that no other entry holds, and of all entries only the n best (less those found) can be among the n best."""
+        forward = self._forward(part)
         found: list[tuple[float, list[int]]] = []
-        heap = [(-forward[-1], (len(part),), 0.0)]
+        # estimates are negated; of equal ones the entry that was made first goes first
+        heap, made = [(-forward[-1], 0, len(part), None, 0.0)], 0
         while heap and len(found) < n:
-            estimate, cuts, behind = heapq.heappop(heap)
-            at = cuts[-1]
-            if at == 0:
-                found.append((behind, list(reversed(cuts))))
-                continue
-            for start, score in into[at]:
-                heapq.heappush(heap, (-(behind + score + forward[start]), (*cuts, start), behind + score))
-        return found
+            _, _, at, after, behind = heapq.heappop(heap)
+            chain = (at, after)
+            while at:
+                ways = [(-(behind + score + forward[start]), start, behind + score) for start, score in self._into(part, at)]
+                first = min(ways, key=itemgetter(0))
+                for way in ways:
+                    if way is not first:
+                        made += 1
+                        heap.append((way[0], made, way[1], chain, way[2]))
+                if len(heap) > 4 * n:
+                    heap = heapq.nsmallest(n, heap)
+                at, behind = first[1], first[2]
+                chain = (at, chain)
+            heap = heapq.nsmallest(n, heap)  # a sorted list is a heap
+            cuts, link = [], chain
+            while link:
+                cuts.append(link[0])
+                link = link[1]
+            found.append((behind, cuts))
+        return sorted(found, key=lambda f: -f[0])
 
     def _ids(self, part: str, cuts: list[int]) -> list[int]:
         out: list[int] = []
@@ -123,6 +154,9 @@ class PieceLattice:
         """(best score, loss of the second best, ids of the best) of a part."""
         if len(part) == 1:
             return self.scores.get(part) or self.worst if part not in self.ids else self.scores[part], _NONE, array("I", self._ids(part, [0, 1])).tobytes()
+        if len(part) > LONG:
+            two = self.nbest(part, 2)
+            return two[0][0], two[0][0] - two[1][0] if len(two) > 1 else _NONE, array("I", self._ids(part, two[0][1])).tobytes()
         n, get, worst = len(part), self.scores.get, self.worst
         forward, came, edges = [-_NONE] * (n + 1), [0] * (n + 1), []
         forward[0] = 0.0
@@ -160,22 +194,51 @@ class PieceLattice:
                 second = forward[i] + behind
         return forward[n], forward[n] - second, array("I", self._ids(part, cuts[::-1])).tobytes()
 
+    def atoms(self, part: str) -> list[str]:
+        """A part, cut between characters that no piece holds together."""
+        pairs = self.pairs
+        cuts = [0, *[i for i in range(1, len(part)) if part[i - 1 : i + 1] not in pairs], len(part)]
+        return [part[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
     def _learn(self, part: str) -> tuple[float, float, bytes]:
-        """A part's best, from its atoms: it is cut between characters that no piece holds together."""
-        known, pairs = self.known, self.pairs
+        """A part's best, from its atoms."""
+        known = self.known
         if len(known) > REMEMBERED:
             known.clear()
-        cuts = [0, *[i for i in range(1, len(part)) if part[i - 1 : i + 1] not in pairs], len(part)]
-        atoms = [part[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
         found = []
-        for atom in atoms:
-            if atom not in known:
-                known[atom] = self._atom(atom)
-            found.append(known[atom])
+        for atom in self.atoms(part):
+            f = known.get(atom)
+            if f is None:
+                f = self._atom(atom)
+                if len(atom) <= LONG:
+                    known[atom] = f
+            found.append(f)
         out = found[0] if len(found) == 1 else (sum(f[0] for f in found), min(f[1] for f in found), b"".join(f[2] for f in found))
-        known[part] = out
+        if len(part) <= LONG:
+            known[part] = out
         return out
 
+    def _ways(self, part: str, n: int) -> list[tuple[float, bytes, bool]]:
+        """The n best (loss, ids, whether these decode to the part) of a part, whose atoms are searched by themselves."""
+        found = self.others.get((part, n))
+        if found is None:
+            atoms = self.atoms(part)
+            best = [self._learn(a) for a in atoms]
+            ways: list[tuple[float, dict]] = [(0.0, {})]
+            for _, i in heapq.nsmallest(n - 1, [(b[1], i) for i, b in enumerate(best) if b[1] < _NONE]):
+                own = self.nbest(atoms[i], n)
+                ways = heapq.nsmallest(n, [(w + own[0][0] - s, c | {i: cuts} if k else c) for w, c in ways for k, (s, cuts) in enumerate(own)], key=itemgetter(0))
+            found = []
+            for loss, changed in ways:
+                ids = [array("I", self._ids(a, changed[i])).tobytes() if i in changed else best[i][2] for i, a in enumerate(atoms)]
+                whole = b"".join(ids)
+                found.append((loss, whole, self._joined(array("I", whole)) == part.replace(SPACE, " ")))
+            if len(self.others) > REMEMBERED // 8:
+                self.others.clear()
+            if len(part) <= LONG:
+                self.others[part, n] = found
+        return found
+
     def plain(self, text: str | None) -> str:
         """What a segmentation of text decodes to: the normalised text with its spaces back."""
         return (self.model.normalize(text) if text else "").replace(SPACE, " ").removeprefix(" ")
@@ -192,27 +255,31 @@ class PieceLattice:
 
     def paths(self, text: str | None, n: int = N_BEST) -> list[tuple[float, bytes]]:
         """The n best (score, ids as unsigned 32-bit integers) of a whole text, in order."""
+        return [p[:2] for p in self.checked(text, n)]
+
+    def checked(self, text: str | None, n: int = N_BEST) -> list[tuple[float, bytes, bool]]:
+        """paths(), and whether the ids that a path has in other places than the best one decode to the text there."""
         parts, known = self.parts(text), self.known
         found = []
         for p in parts:
             f = known.get(p)
             found.append(f if f is not None else self._learn(p))
         if not found:
-            return [(0.0, b"")]
+            return [(0.0, b"", True)]
         scores, losses, ids = zip(*found, strict=True)
         total = sum(scores)
         cheap = heapq.nsmallest(n - 1, [(x, i) for i, x in enumerate(losses) if x < _NONE]) if n > 1 else []
-        # a way is its loss and, by part, the cuts it takes there instead of the best
+        # a way is its loss and, by part, the ids it takes there instead of the best
         ways: list[tuple[float, dict]] = [(0.0, {})]
         for _, i in cheap:
-            own = self.nbest(parts[i], n)
-            ways = heapq.nsmallest(n, [(w + own[0][0] - s, c | {i: cuts} if k else c) for w, c in ways for k, (s, cuts) in enumerate(own)], key=lambda way: way[0])
-        out = [(total, b"".join(ids))]
+            own = self._ways(parts[i], n)
+            ways = heapq.nsmallest(n, [(w + other[0], c | {i: other[1:]} if k else c) for w, c in ways for k, other in enumerate(own)], key=itemgetter(0))
+        out = [(total, b"".join(ids), True)]
         for w, changed in ways[1:]:
             own = list(ids)
-            for i, cuts in changed.items():
-                own[i] = array("I", self._ids(parts[i], cuts)).tobytes()
-            out.append((total - w, b"".join(own)))
+            for i, (other, _) in changed.items():
+                own[i] = other
+            out.append((total - w, b"".join(own), all(good for _, good in changed.values())))
         return out
 
     def segmentations(self, text: str | None, n: int = N_BEST) -> list[tuple[float, list[int]]]:
@@ -222,9 +289,12 @@ class PieceLattice:
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: pieces in a row, byte pieces as UTF-8, spaces restored, the first one dropped."""
+        return self._joined(ids).removeprefix(" ")
+
+    def _joined(self, ids) -> str:
         values = self.values
         if values.keys().isdisjoint(ids):
-            return "".join(map(self.pieces.__getitem__, ids)).replace(SPACE, " ").removeprefix(" ")
+            return "".join(map(self.pieces.__getitem__, ids)).replace(SPACE, " ")
         out, held = [], bytearray()
         for i in ids:
             if i in values:
@@ -235,7 +305,7 @@ class PieceLattice:
                 held.clear()
             out.append(self.pieces[i])
         out.append(held.decode("utf-8", "replace"))
-        return "".join(out).replace(SPACE, " ").removeprefix(" ")
+        return "".join(out).replace(SPACE, " ")
 
 
 _OPEN: dict[str, PieceLattice] = {}
@@ -248,42 +318,32 @@ def lattice(path: str = PIECE_BPE) -> PieceLattice:
     return _OPEN[path]
 
 
-def encode(docs: DataFrame, n: int = N_BEST, path: str = PIECE_BPE, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """doc_id, n_pieces, best_score, scores (the n best, best first), ids_crc32 of the best, ids (binary) of the best,
-    all_ids (binary, as scores) and round_trip (as scores: whether they decode to the normalised text) for every row."""
+def encode(docs: DataFrame, n: int = N_BEST, path: str = PIECE_BPE, text: str = "text", key: str = "doc_id", with_ids: bool = True) -> DataFrame:
+    """doc_id, scores (the n best, best first) and, for each of these, n_pieces, crc32 of the ids as unsigned 32-bit integers,
+    round_trip (whether they decode to the normalised text) and, with_ids, all_ids (binary), for every row."""
     small_batches(docs.sparkSession)
+    kinds = {"scores": pa.float64(), "n_pieces": pa.int64(), "ids_crc32": pa.int64(), "round_trip": pa.bool_()} | ({"all_ids": pa.binary()} if with_ids else {})
 
     def run(batches):
         own = lattice(path)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            found = [own.paths(t, n) for t in texts]
-            backs = [[own.decode(array("I", i)) == whole for _, i in paths] for whole, paths in zip(map(own.plain, texts), found, strict=True)]
-            columns = [[[s for s, _ in f] for f in found], [[i for _, i in f] for f in found], backs]
-            kinds = [pa.list_(pa.float64()), pa.list_(pa.binary()), pa.list_(pa.bool_())]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names=["doc_id", "scores", "all_ids", "round_trip"]
-            )
+            rows = []
+            for t in batch.column(1).to_pylist():
+                found = own.checked(t, n)
+                # the best is decoded whole, the others where they differ from it
+                best = own.decode(array("I", found[0][1])) == own.plain(t)
+                ids = [f[1] for f in found]
+                rows.append(([f[0] for f in found], [len(i) // 4 for i in ids], [zlib.crc32(i) for i in ids], [best and f[2] for f in found], ids))
+            columns = [pa.array([r[k] for r in rows], pa.list_(kind)) for k, kind in enumerate(kinds.values())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", *kinds])
 
     kind = dict(docs.dtypes)[key]
-    out = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    out = out.mapInArrow(run, f"doc_id {kind}, scores array<double>, all_ids array<binary>, round_trip array<boolean>")
-    best = F.col("all_ids")[0]
-    return out.select(
-        "doc_id",
-        (F.octet_length(best) / 4).cast("long").alias("n_pieces"),
-        F.col("scores")[0].alias("best_score"),
-        "scores",
-        F.crc32(best).alias("ids_crc32"),
-        best.alias("ids"),
-        "all_ids",
-        F.transform("all_ids", F.crc32).alias("all_crc32"),
-        "round_trip",
-    )
+    schema = f"doc_id {kind}, scores array<double>, n_pieces array<long>, ids_crc32 array<long>, round_trip array<boolean>" + (", all_ids array<binary>" if with_ids else "")
+    return docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, path: str = PIECE_BPE) -> DataFrame:
-    """(doc_id, text) of rows with doc_id and ids (binary); null ids give a null text."""
+    """(doc_id, text) of rows with doc_id and all_ids (binary, best first), by the best; null ids give a null text."""
     small_batches(encoded.sparkSession)
 
     def run(batches):
@@ -293,6 +353,4 @@ def decode(encoded: DataFrame, path: str = PIECE_BPE) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
     kind = dict(encoded.dtypes)["doc_id"]
-    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, text string")
-
-
+    return encoded.select("doc_id", F.get("all_ids", F.lit(0)).alias("ids")).mapInArrow(run, f"doc_id {kind}, text string")

@@ -45,7 +45,7 @@ def op9_line_dedup(spark, sf_dir):
 
 
 def op10_nbest_pieces(spark, sf_dir):
-    return nbest_pieces.encode(read_table(spark, sf_dir, "documents")).drop("ids")  # all_ids holds them
+    return nbest_pieces.encode(read_table(spark, sf_dir, "documents"), with_ids=False)  # their digests
 
 
 QUERIES = {

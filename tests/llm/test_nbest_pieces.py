@@ -54,12 +54,12 @@ def test_round_trip_of_documents(spark):
     for r in out.limit(20).collect():
         if len(texts[r.doc_id]) < 3000:
             want = own.segmentations(texts[r.doc_id])
-            assert r.scores == [s for s, _ in want] and r.n_pieces == len(want[0][1])
+            assert r.scores == [s for s, _ in want] and r.n_pieces == [len(p) for _, p in want] and all(r.round_trip)
 
 
 def test_edges(spark):
     df = spark.createDataFrame([(1, None, 0), (2, "", 0), (2, "", 0), (None, "a\x00b", 1), (4, "x" * 20000, 2), (5, "   ", 1)], "doc_id long, text string, scores int")
-    out = {(r.doc_id, r.n_pieces > 0, r.best_score <= 0) for r in nb.encode(df).collect()}
+    out = {(r.doc_id, r.n_pieces[0] > 0, r.scores[0] <= 0) for r in nb.encode(df).collect()}
     assert out == {(1, False, True), (2, False, True), (None, True, True), (4, True, True), (5, True, True)}
     back = {r.doc_id: r.text for r in nb.decode(nb.encode(df)).collect()}
     assert back == {1: "", 2: "", None: "a\x00b", 4: "x" * 20000, 5: "   "}
@@ -76,7 +76,39 @@ def test_all_segmentations_are_returned_and_decode(spark):
         paths = [nb.array("I", bytes(b)).tolist() for b in r.all_ids]
         want = own.segmentations(texts[r.doc_id])
         assert len(paths) == len(r.scores) == len(r.round_trip) == len(want)
-        assert len(set(map(tuple, paths))) == len(paths) and bytes(r.all_ids[0]) == bytes(r.ids)
-        assert r.all_crc32 == [zlib.crc32(bytes(b)) for b in r.all_ids] and r.all_crc32[0] == r.ids_crc32
+        assert len(set(map(tuple, paths))) == len(paths)
+        assert r.ids_crc32 == [zlib.crc32(bytes(b)) for b in r.all_ids] and r.n_pieces == list(map(len, paths))
         assert all(abs(s - w) < 1e-6 for s, (w, _) in zip(r.scores, want, strict=True))
         assert all(r.round_trip) and all(own.decode(p) == texts[r.doc_id] for p in paths)
+    digests = nb.encode(df, with_ids=False).collect()
+    assert [(r.doc_id, r.ids_crc32) for r in digests] == [(r.doc_id, r.ids_crc32) for r in rows] and "all_ids" not in digests[0]
+
+
+def test_equal_scores_are_all_returned_the_longer_last_piece_first():
+    own = nb.lattice()
+    flat = nb.PieceLattice()
+    flat.scores = {p: None if s is None else -1.0 for p, s in own.scores.items()}
+    flat.worst = -1.0
+    whole = flat.model.normalize("then then")
+    found = flat.nbest(whole, 40)
+    ways = sorted(brute(flat, whole), reverse=True)[:40]
+    assert [s for s, _ in found] == ways and len({tuple(c) for _, c in found}) == 40
+    best = [c for s, c in found if s == found[0][0]]
+    assert all(best[0][-2] <= c[-2] for c in best)
+
+
+def test_a_very_long_word_takes_linear_time_and_memory():
+    import time
+    import tracemalloc
+
+    own, rng = nb.lattice(), random.Random(1)
+    text = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+") for _ in range(100_000))
+    began = time.time()
+    found = own.paths(text)
+    took = time.time() - began
+    assert len(found) == 4 and len({i for _, i in found}) == 4 and took < 20
+    assert all(own.decode(nb.array("I", i)) == text for _, i in found)
+    tracemalloc.start()
+    own.paths("x" + text)
+    assert tracemalloc.get_traced_memory()[1] < 200e6
+    tracemalloc.stop()
