@@ -30,12 +30,13 @@ def filter_solutions(df: DataFrame, limit: float = CONTAMINATION) -> DataFrame:
 
 
 def dedup_keep_first(df: DataFrame, content: str, order: str) -> DataFrame:
-    """One row for each content, the one that comes first by order; nulls are one content.
+    """One row for each content, the one that comes first by order (null last), then by a hash of the row; nulls are one content.
 
-    A partial aggregate finds the first row's order value, so a content with many copies is reduced
-    before the shuffle."""
-    firsts = df.groupBy(F.xxhash64(content).alias("_h"), F.col(content).alias("_c")).agg(F.min(order).alias("_o")).select("_o")
-    return df.join(firsts, df[order] == F.col("_o"), "left_semi")
+    A partial aggregate keeps a content's first row, so one with many copies is reduced before the shuffle."""
+    row = F.struct(*[c for c in df.columns if c != content])
+    first = F.min_by(row, F.struct(F.col(order).isNull().alias("last"), F.col(order).alias("order"), F.xxhash64(*df.columns).alias("hash"))).alias("_row")
+    out = df.groupBy(F.col(content).alias("_content")).agg(first)
+    return out.select(*[F.col("_content").alias(c) if c == content else F.col("_row")[c].alias(c) for c in df.columns])
 
 
 def duplicate_groups(df: DataFrame, content: str, key: str) -> DataFrame:

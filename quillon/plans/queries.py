@@ -35,17 +35,22 @@ def table(spark, sf_dir: str, name: str):
 TOKS = r"regexp_extract_all(coalesce(text, ''), '\S+')"
 
 
-@query(f"""WITH c AS (SELECT list_sort(list_distinct({TOKS})) AS toks, min(doc_id) AS rep FROM documents GROUP BY 1),
+@query(f"""WITH c AS (SELECT list_sort(list_distinct({TOKS})) AS toks, min(doc_id) AS rep, count(*) AS copies FROM documents GROUP BY 1),
 d AS (SELECT * FROM c WHERE len(toks) > 0),
-t AS (SELECT rep, len(toks) AS n, unnest(toks) AS t FROM d),
-p AS (SELECT a.rep AS i, b.rep AS j, a.n AS n, b.n AS m, count(*) AS s FROM t a JOIN t b ON a.t = b.t AND a.rep < b.rep GROUP BY ALL)
+t AS (SELECT rep, copies, len(toks) AS n, unnest(toks) AS t FROM d),
+p AS (SELECT a.rep AS i, b.rep AS j, a.n AS n, b.n AS m, a.copies AS n_i, b.copies AS n_j, count(*) AS s FROM t a JOIN t b ON a.t = b.t AND a.rep < b.rep GROUP BY ALL)
 SELECT i, j, round(s::DOUBLE / (n + m - s), 6) AS jaccard,
-  CASE WHEN round(s::DOUBLE / (n + m - s), 12) >= 0.75 THEN 'HARD_FAIL' WHEN round(s::DOUBLE / (n + m - s), 12) >= 0.6 THEN 'REVIEW' ELSE 'CROSS' END AS flag
+  CASE WHEN round(s::DOUBLE / (n + m - s), 12) >= 0.75 THEN 'HARD_FAIL' WHEN round(s::DOUBLE / (n + m - s), 12) >= 0.6 THEN 'REVIEW' ELSE 'CROSS' END AS flag, n_i, n_j
 FROM p WHERE round(s::DOUBLE / (n + m - s), 12) >= 0.6""")
 def jaccard_pairs_above(spark, sf_dir):
     return pairs.jaccard_pairs(table(spark, sf_dir, "documents"), 0.6)
 
 
+@query(f"SELECT doc_id, min(doc_id) OVER (PARTITION BY list_sort(list_distinct({TOKS}))) AS class_id, count(*) OVER (PARTITION BY list_sort(list_distinct({TOKS}))) AS n FROM documents")
+def token_set_classes(spark, sf_dir):
+    return pairs.class_members(table(spark, sf_dir, "documents"))
+
+
 @query("SELECT * EXCLUDE (text, n) FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS n FROM documents) WHERE n = 1")
 def exact_dedup_keep_first(spark, sf_dir):
     return curate.dedup_keep_first(table(spark, sf_dir, "documents"), "text", "doc_id").drop("text")
@@ -158,7 +163,7 @@ _Z = """WITH m AS (SELECT list(m ORDER BY i) AS m FROM (SELECT i, avg(x::DOUBLE)
 c AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS raw, list_transform(embedding, lambda x, i: x::DOUBLE - m[i]) AS c FROM embeddings, m),
 z AS (SELECT vec_id, label, raw, list_transform(c, lambda x: x / (sqrt(list_dot_product(c, c)) + 1e-12)) AS z FROM c),
 p AS (SELECT a.vec_id AS i, b.vec_id AS j, a.label AS la, b.label AS lb, list_dot_product(a.z, b.z) AS s, list_dot_product(a.raw, b.raw) AS r FROM z a JOIN z b ON a.vec_id < b.vec_id)"""
-_PAIR = " SELECT i, j, round(s, 6) AS centered_score, round(r, 6) AS raw_score, CASE WHEN round(s, 6) >= 0.5 THEN 'HARD_FAIL' WHEN round(s, 6) >= 0.45 THEN 'REVIEW' ELSE 'CROSS' END AS flag FROM p WHERE round(s, 6) >= 0.4"
+_PAIR = " SELECT i, j, round(s, 6) AS centered_score, round(r, 6) AS raw_score, CASE WHEN s >= 0.5 THEN 'HARD_FAIL' WHEN s >= 0.45 THEN 'REVIEW' ELSE 'CROSS' END AS flag FROM p WHERE s >= 0.4"
 
 
 @query(_Z + _PAIR)
@@ -203,7 +208,8 @@ def histogram_statistics(spark, sf_dir):
 @query("""WITH d AS (SELECT a.vec_id, a.label AS own, b.label AS other, sum(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[])) AS s, count(*) AS n
   FROM embeddings a CROSS JOIN embeddings b GROUP BY ALL),
 r AS (SELECT vec_id, own, max(CASE WHEN own = other AND n > 1 THEN s / (n - 1) END) AS a, min(CASE WHEN own <> other THEN s / n END) AS b FROM d GROUP BY ALL)
-SELECT own AS label, count(*) AS n, round(avg(CASE WHEN a IS NULL OR b IS NULL THEN 0.0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette FROM r GROUP BY 1""")
+SELECT own AS label, count(*) AS n, round(avg(CASE WHEN a IS NULL OR b IS NULL OR greatest(a, b) = 0 THEN 0.0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette
+FROM r WHERE (SELECT count(DISTINCT own) BETWEEN 2 AND count(*) - 1 FROM r) GROUP BY 1""")
 def silhouette_by_label(spark, sf_dir):
     return pairs.silhouette(table(spark, sf_dir, "embeddings"), "label")
 

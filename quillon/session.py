@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 
 from pyspark.sql import SparkSession
 
@@ -33,6 +34,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
+        if not named and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
         context.setCheckpointDir(named or os.path.join(os.environ.get("TMPDIR", "/tmp"), "checkpoints"))
     return context.getCheckpointDir()
 
@@ -44,5 +47,5 @@ def checkpointed(df, eager: bool = True):
 
 
 def shuffle_width(spark: SparkSession) -> int:
-    """The number of shuffle partitions the session asks for; it follows the input."""
+    """The number of shuffle partitions the session asks for."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))

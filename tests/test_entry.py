@@ -9,7 +9,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 
 def test_entry_has_rows(spark):
-    assert entry.entry(spark).columns == ["i", "j", "jaccard", "flag"]
+    assert entry.entry(spark).columns == ["i", "j", "jaccard", "flag", "n_i", "n_j"]
     assert set(own.SQL) <= set(own.QUERIES) <= set(entry.queries())
 
 

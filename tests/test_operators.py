@@ -59,6 +59,31 @@ def test_jaccard_matches_brute_force(spark):
     assert {(r.i, r.j) for r in got.collect()} == want
 
 
+def test_copies_are_classes_with_counts(spark):
+    rows = [(1, "a b c d"), (2, "d c b a"), (3, "a b c e"), (4, ""), (5, None), (6, "a b c d")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [tuple(r) for r in pairs.jaccard_pairs(df, 0.6).collect()] == [(1, 3, 0.6, "REVIEW", 3, 1)]
+    assert {tuple(r) for r in pairs.class_members(df).collect()} == {(1, 1, 3), (2, 1, 3), (6, 1, 3), (3, 3, 1), (4, 4, 2), (5, 4, 2)}
+
+
+def test_silhouette_of_equal_vectors_and_of_too_few_or_many_labels(spark):
+    kind = "vec_id long, embedding array<double>, label int"
+    of = lambda *labels: {(r.label, r.n, r.silhouette) for r in pairs.silhouette(spark.createDataFrame([(i, [1.0, 2.0], x) for i, x in enumerate(labels)], kind), "label").collect()}
+    assert of(0, 0, 1, 1) == {(0, 2, 0.0), (1, 2, 0.0)}
+    assert of(0, 0, 0) == of(0, 1, 2) == of() == set()
+
+
+def test_the_raw_score_decides(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [-1.0, 1e-4])], "vec_id long, embedding array<double>")
+    assert pairs.cosine_pairs(df, -0.9999999999).count() == 0 and pairs.cosine_pairs(df, -1.0 - 1e-9).count() == 1
+
+
+def test_first_rows_by_repeated_order(spark):
+    rows = [(0, "b", 1), (1, "b", 2), (1, "a", 3), (None, "c", 4), (None, "c", 4), (5, None, 6), (4, None, 7)]
+    out = curate.dedup_keep_first(spark.createDataFrame(rows, "id int, s string, _row int"), "s", "id")
+    assert out.columns == ["id", "s", "_row"] and {tuple(r) for r in out.collect()} == {(0, "b", 1), (1, "a", 3), (None, "c", 4), (4, None, 7)} and out.count() == 4
+
+
 def test_pareto_matches_brute_force(spark):
     rng = random.Random(10)
     rows = [(i, float(rng.randint(0, 8)), float(rng.randint(0, 8))) for i in range(60)]
