@@ -1,17 +1,19 @@
 """Language-model scores by a weighted backoff automaton that is spread over the cluster.
 
-The model is a word bigram model with Dirichlet smoothing: p(w|h) = (c(h,w) + MASS p(w)) / (c(h) + MASS),
-where p(w) = (c(w) + 0.1) / (N + 0.1 (V + 1)). As an automaton, a state is a context word, a seen bigram an
-arc, and the failure arc of state h leads to the root with weight MASS / (c(h) + MASS); the root has an arc
-for every token. One traversal of a text from left to right carries the state and adds up log10 weights.
+The model is a word model of order ORDER with Dirichlet smoothing: p(w|h) = (c(h,w) + m p(w|h')) / (c(h) + m), where h' is h
+without its first word, m the mass of h's length, and p(w) = (c(w) + 0.1) / (N + 0.1 (V + 1)). As an automaton, a state is a history
+of up to ORDER - 1 words that occurs in training, and a smoothed n-gram is an arc to the longest state that ends its words. The failure
+arc of a state leads to the state of its history without the first word and weighs m / (c(h) + m); the root, the empty history,
+has an arc for every token. One traversal of a text from left to right carries the state and adds up log10 weights.
 
-The model grows with the corpus, so no process holds it. Documents are dealt over shards. Each shard lists
-the n-grams its documents have, with their counts in training documents; ranges of n-gram keys are summed
-each in one task, and every shard gets the sums for its own n-grams back: the part of the automaton that its
-documents can visit. What a task holds is bounded by a shard or by a range; the numbers of both follow
-spark.sql.shuffle.partitions. A frequent n-gram counts once for each shard.
+The model grows with the corpus, so no process holds it. Each task puts its rows into shards of about SHARD_BYTES of text, and
+lists a shard's n-grams with their counts in training documents. Ranges of n-gram keys are summed, each in one task, and every shard
+gets the sums for its own n-grams back: the part of the automaton that its documents can visit. Documents are read once more
+for that and travel as numbers of their shard's words. A frequent n-gram counts once for each shard. What a task holds is a shard or a range;
+the number of the ranges follows spark.sql.shuffle.partitions. A document longer than a shard is a shard by itself.
 
-N-grams travel as hashes: words by 64 bits, bigrams by 48.
+N-grams travel as 64-bit hashes. Shards are named by the task and their place in it, so docs has to be a table, whose rows are read
+in the same order each time; a shard that differs raises an error.
 
 Defined results: a null or empty text has one token, the end; rows with equal ids are separate documents;
 without training documents N, V and all counts are 0; an empty table gives an empty table; other columns
@@ -23,21 +25,26 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import remainder
+from quillon.llm.common import remainder, small_batches
 from quillon.session import checkpointed, shuffle_width
 
-#: Weight of the unigram distribution in every context, in tokens.
-MASS = 200.0
+ORDER = 3
+#: Weight of the distribution after a shorter history, in tokens: for histories of one word, of two, and so on.
+MASSES = (200.0, 20.0)
 ADD = 0.1
-#: Shards for each shuffle partition.
-SHARDS_PER_PARTITION = 2
+#: Bytes of text from which a shard is full.
+SHARD_BYTES = 24 << 20
 #: No word holds white space.
 END, START = b"\n", b"\r"
-_KIND_BITS = (64, 48)
 _SPLIT = 24
+#: The kinds of rows besides those of n-grams, which have their order: documents, and a range's totals.
+_DOCUMENTS, _TOTALS = 0, -1
+_UNSTABLE = "the rows were read in another order the second time; write them as a table first"
 
 
 class _Ids(dict):
@@ -46,176 +53,257 @@ class _Ids(dict):
         return n
 
 
-class ShardGrams:
-    """The tokens of some documents, their distinct words and bigrams, and the keys these travel by."""
+def _packed(values: np.ndarray) -> bytes:
+    """Unsigned values by byte planes, which compress well where high bytes are 0."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes())
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.uint8).reshape(8, -1).T
+    return np.ascontiguousarray(planes).reshape(-1).view("<u8")
+
+
+def _joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The keys of n-grams from those of their histories and last words."""
+    with np.errstate(over="ignore"):
+        x = (left * np.uint64(0x9E3779B97F4A7C15) + (right ^ (right >> np.uint64(29)))) * np.uint64(0xBF58476D1CE4E5B9)
+        return (x ^ (x >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+
+
+class Documents:
+    """lengths in tokens, tokens by number, and the words' hashes, of the documents of a shard."""
+
+    def __init__(self, lengths: np.ndarray, tokens: np.ndarray, hashes: np.ndarray):
+        self.lengths, self.tokens, self.hashes = lengths, tokens, hashes
 
-    def __init__(self, texts: list[str | None]):
+    @classmethod
+    def of(cls, texts: list[str | None]) -> Documents:
         ids = _Ids({END: 0, START: 1})
         get = ids.__getitem__
         parts = [np.fromiter(map(get, [*(t or "").encode("utf-8", "replace").lower().split(), END]), dtype=np.int64) for t in texts]
-        self.lengths = np.array([len(p) for p in parts], dtype=np.int64)
-        self.tokens = np.concatenate(parts) if parts else np.zeros(0, dtype=np.int64)
-        self.starts = np.cumsum(self.lengths) - self.lengths
-        self.before = np.concatenate([[1], self.tokens[:-1]]) if parts else self.tokens
-        self.before[self.starts] = 1
-        self.words = len(ids)
-        digest = xxhash.xxh64_intdigest
-        hashes = np.fromiter((digest(w) for w in ids), dtype=np.uint64, count=len(ids))
-        self.pairs, self.pair_of = np.unique(self.before << 32 | self.tokens, return_inverse=True)
-        with np.errstate(over="ignore"):
-            right = hashes[self.pairs & 0xFFFFFFFF]
-            mixed = (hashes[self.pairs >> 32] * np.uint64(0x9E3779B97F4A7C15) + (right ^ (right >> np.uint64(29)))) * np.uint64(0xBF58476D1CE4E5B9)
-        mixed = (mixed ^ (mixed >> np.uint64(32))) >> np.uint64(16)
-        #: For words and bigrams: the order by key, and the keys in that order.
-        self.order = (np.argsort(hashes, kind="stable"), np.argsort(mixed, kind="stable"))
-        self.keys = (hashes[self.order[0]], mixed[self.order[1]])
-
-    def counts(self, training: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Counts in the training documents, in the order of the keys."""
-        inside = np.repeat(training, self.lengths)
-        found = (np.bincount(self.tokens[inside], minlength=self.words), np.bincount(self.pair_of[inside], minlength=len(self.pairs)))
-        return found[0][self.order[0]], found[1][self.order[1]]
-
-
-def _ranges(keys: np.ndarray, bits: int, ranges: int) -> tuple[np.ndarray, np.ndarray]:
+        lengths = np.array([len(p) for p in parts], dtype=np.int64)
+        return cls(lengths, np.concatenate([np.zeros(0, dtype=np.int64), *parts]), np.fromiter(map(xxhash.xxh64_intdigest, ids), dtype=np.uint64, count=len(ids)))
+
+    def packed(self) -> list[bytes]:
+        return [_packed(self.lengths), _packed(self.tokens), self.hashes.astype("<u8").tobytes()]
+
+    @classmethod
+    def unpacked(cls, parts: list[bytes]) -> Documents:
+        return cls(_unpacked(parts[0]).astype(np.int64), _unpacked(parts[1]).astype(np.int64), np.frombuffer(parts[2], dtype="<u8"))
+
+
+class Grams:
+    """The n-grams of a shard's documents, by order: their sorted keys, and which one ends at each token (-1 where none does)."""
+
+    def __init__(self, docs: Documents, order: int = ORDER):
+        self.docs, n = docs, len(docs.tokens)
+        self.place = np.arange(n) - np.repeat(np.cumsum(docs.lengths) - docs.lengths, docs.lengths)
+        self.keys: list[np.ndarray] = []
+        self.at: list[np.ndarray] = []
+        words, self.number = np.unique(docs.hashes, return_inverse=True)
+        self.keys.append(words)
+        self.at.append(self.number[docs.tokens])
+        word, history = docs.hashes[docs.tokens], None
+        for k in range(2, order + 1):
+            # the history of a document's first token is the start; longer ones begin further on
+            before = np.concatenate([docs.hashes[1:2], (word if history is None else history)[:-1]])[:n]
+            if history is None:
+                before = np.where(self.place == 0, docs.hashes[1], before)
+            own = _joined(before, word)
+            good = self.place >= k - 2
+            keys, inverse = np.unique(own[good], return_inverse=True)
+            at = np.full(n, -1, dtype=np.int64)
+            at[good] = inverse
+            self.keys.append(keys)
+            self.at.append(at)
+            history = own
+
+    def counts(self, training: np.ndarray) -> list[np.ndarray]:
+        """Counts in the training documents, by order and in the order of the keys."""
+        inside = np.repeat(training, self.docs.lengths)
+        return [np.bincount(at[inside & (at >= 0)], minlength=len(keys)) for keys, at in zip(self.keys, self.at, strict=True)]
+
+
+class Automaton:
+    """The part of the automaton that the documents of some n-grams can visit, with counts of these by order."""
+
+    def __init__(self, grams: Grams, counts: list[np.ndarray], total: int, distinct: int, masses=MASSES):
+        self.grams, self.counts = grams, counts
+        words, starts = counts[0].astype(np.float64), grams.number[1]
+        p = (words + ADD) / (total + ADD * (distinct + 1))
+        self.root = np.log10(p)
+        contexts = words.copy()
+        # a training document has one start and one end, which nothing follows
+        contexts[starts], contexts[grams.number[0]] = words[grams.number[0]], 0.0
+        at = grams.at
+        #: For each order the weight at each token of its arc and whether there is one, and of the failure arc from the state before.
+        self.weights, self.has, self.failure = [self.root[at[0]]], [np.ones(len(at[0]), dtype=bool)], [np.zeros(len(at[0]))]
+        probability, n = p[at[0]], len(at[0])
+        for k in range(2, len(counts) + 1):
+            own, mass = at[k - 1], masses[k - 2]
+            good = own >= 0
+            if k == 2:
+                before = np.where(grams.place == 0, starts, np.concatenate([[0], at[0][:-1]])[:n])
+                of_history = contexts[before]
+            else:
+                before = np.concatenate([[-1], at[k - 2][:-1]])[:n]
+                of_history = np.where(good, counts[k - 2][before], 0).astype(np.float64) if len(counts[k - 2]) else np.zeros(n)
+            c = np.where(good, counts[k - 1][own], 0) if len(counts[k - 1]) else np.zeros(n, dtype=np.int64)
+            probability = np.where(c > 0, (c + mass * probability) / (of_history + mass), mass * probability / (of_history + mass))
+            self.weights.append(np.log10(probability))
+            self.has.append(c > 0)
+            self.failure.append(np.log10(mass / (of_history + mass)))
+
+    def resolved(self) -> tuple[np.ndarray, np.ndarray]:
+        """For each length of the state before a token: the weight of the arc, failure arcs included; and the length of the state after it."""
+        out = [self.weights[0]]
+        for k in range(1, len(self.weights)):
+            out.append(np.where(self.has[k], self.weights[k], self.failure[k] + out[-1]))
+        # the longest n-gram that ends here and occurs in training, less one word if it is of the full order, is the next state
+        after = (self.counts[0][self.grams.at[0]] > 0).astype(np.int64)
+        for k in range(2, len(self.weights)):
+            after = np.where(self.has[k - 1], k, after)
+        return np.array(out), after
+
+    def traverse(self) -> np.ndarray:
+        """Each document's sum of weights: the state goes from token to token; all documents advance by one token at a time."""
+        weights, after = self.resolved()
+        docs = self.grams.docs
+        order = np.argsort(-docs.lengths, kind="stable")
+        lengths = docs.lengths[order]
+        at = (np.cumsum(docs.lengths) - docs.lengths)[order]
+        total, state = np.zeros(len(order)), np.ones(len(order), dtype=np.int64)  # the state of the start
+        steps, live = int(lengths[0]) if len(order) else 0, len(order)
+        alive = len(order) - np.searchsorted(np.sort(lengths), np.arange(steps), side="right")
+        for step in range(steps):
+            if alive[step] != live:
+                live = int(alive[step])
+                at, state = at[:live], state[:live]
+            total[:live] += weights[state, at]
+            state = after[at]
+            at = at + 1
+        out = np.empty(len(order))
+        out[order] = total
+        return out
+
+
+def _ranges(keys: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray]:
     """The ranges that sorted keys fall in, and where each begins (and the last ends)."""
-    which = ((keys >> np.uint64(bits - _SPLIT)) * np.uint64(ranges)) >> np.uint64(_SPLIT)
+    if not len(keys):
+        return np.zeros(0, dtype=np.int64), np.zeros(1, dtype=np.int64)
+    which = ((keys >> np.uint64(64 - _SPLIT)) * np.uint64(ranges)) >> np.uint64(_SPLIT)
     cuts = np.flatnonzero(np.diff(which)) + 1
     begins = np.concatenate([[0], cuts, [len(keys)]])
     return which[begins[:-1]].astype(np.int64), begins
 
 
-def _planes(values: np.ndarray, width: int) -> bytes:
-    """Unsigned values by byte planes, which compress well where high bytes are 0."""
-    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+def _names(kind: pa.DataType) -> pa.Schema:
+    return pa.schema([("range", pa.int32()), ("shard", pa.int64()), ("kind", pa.int32()), ("data", pa.list_(pa.binary())), ("ids", pa.list_(kind)), ("train", pa.list_(pa.bool_())), ("tokens", pa.int64()), ("distinct", pa.int64())])
 
 
-def _from_planes(data: bytes, width: int) -> np.ndarray:
-    planes = np.frombuffer(data, dtype=np.uint8).reshape(width, -1).T
-    out = np.zeros((planes.shape[0], 8), dtype=np.uint8)
-    out[:, :width] = planes
-    return out.reshape(-1).view("<u8")
+def _lister(rows_of, shard_bytes: int):
+    """The rows that rows_of(shard, ids, train, texts) makes of each shard of a task's rows."""
 
+    def run(batches):
+        task, number, kind = TaskContext.get().partitionId(), 0, None
+        ids, train, texts, size = [], [], [], 0
 
-class Automaton:
-    """Sorted arcs (state, token) with weights; failure weights by state; root weights by token; log10."""
+        def batch_of(rows):
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _names(kind), strict=True)], schema=_names(kind))
 
-    def __init__(self, words: np.ndarray, pairs: np.ndarray, pair_counts: np.ndarray, total: int, distinct: int, mass: float = MASS):
-        p = (words + ADD) / (total + ADD * (distinct + 1))
-        self.root = np.log10(p)
-        context = words.astype(np.float64)
-        context[1], context[0] = words[0], 0.0  # a training document has one start and one end, which nothing follows
-        seen = pair_counts > 0
-        self.arcs = pairs[seen]
-        self.weights = np.log10((pair_counts[seen] + mass * p[self.arcs & 0xFFFFFFFF]) / (context[self.arcs >> 32] + mass))
-        self.failure = np.log10(mass / (context + mass))
-
-    def step(self, states: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(next states, weights): an arc where there is one, else the failure arc and then the root's."""
-        keys = states << 32 | tokens
-        weights = self.failure[states] + self.root[tokens]
-        if len(self.arcs):
-            at = np.minimum(np.searchsorted(self.arcs, keys), len(self.arcs) - 1)
-            weights = np.where(self.arcs[at] == keys, self.weights[at], weights)
-        return tokens, weights
-
-    def traverse(self, grams: ShardGrams) -> np.ndarray:
-        """Each document's sum of weights; all documents advance by one token at a time."""
-        order = np.argsort(-grams.lengths, kind="stable")
-        starts, lengths = grams.starts[order], grams.lengths[order]
-        total, states = np.zeros(len(order)), np.ones(len(order), dtype=np.int64)
-        live = len(order)
-        for at in range(int(lengths[0]) if len(order) else 0):
-            while lengths[live - 1] <= at:
-                live -= 1
-            states[:live], weights = self.step(states[:live], grams.tokens[starts[:live] + at])
-            total[:live] += weights
-        out = np.empty(len(order))
-        out[order] = total
-        return out
+        for batch in batches:
+            kind = batch.column(0).type
+            for key, text, taught in zip(*[batch.column(c).to_pylist() for c in range(3)], strict=True):
+                ids.append(key)
+                texts.append(text)
+                train.append(taught)
+                size += len(text or "")
+                if size >= shard_bytes:
+                    yield batch_of(list(rows_of(task << 32 | number, ids, train, texts)))
+                    ids, train, texts, size, number = [], [], [], 0, number + 1
+        if ids:
+            yield batch_of(list(rows_of(task << 32 | number, ids, train, texts)))
+
+    return run
 
 
-def _extract(ranges: int):
-    def run(key, table):
-        shard = key[0].as_py()
-        grams = ShardGrams(table.column("text").to_pylist())
-        counts = grams.counts(table.column("train").to_numpy(zero_copy_only=False).astype(bool))
-        rows: list[tuple] = []
-        for kind, bits in enumerate(_KIND_BITS):
-            which, begins = _ranges(grams.keys[kind], bits, ranges)
+def _gram_rows(ranges: int, order: int):
+    """For each order and range the keys and counts of a shard's n-grams."""
+
+    def rows(shard, ids, train, texts):
+        grams = Grams(Documents.of(texts), order)
+        for k, (keys, counts) in enumerate(zip(grams.keys, grams.counts(np.array(train, dtype=bool)), strict=True), 1):
+            which, begins = _ranges(keys, ranges)
             for r, a, b in zip(which.tolist(), begins[:-1].tolist(), begins[1:].tolist(), strict=True):
-                own = grams.keys[kind][a:b]
-                steps = np.diff(own, prepend=np.uint64(0))
-                rows.append((r, shard, kind, _planes(steps, bits // 8), _planes(counts[kind][a:b], 4)))
-        kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
-        return pa.table([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["range", "shard", "kind", "keys", "counts"])
+                yield (r, shard, k, [_packed(np.diff(keys[a:b], prepend=np.uint64(0))), _packed(counts[a:b])], None, None, None, None)
 
-    return run
+    return rows
+
+
+def _document_row(shard, ids, train, texts):
+    return [(None, shard, _DOCUMENTS, Documents.of(texts).packed(), ids, train, None, None)]
 
 
 def _sum_range(key, table):
-    """Each shard's n-grams of a range with their sums over all shards; and the range's tokens and words."""
+    """Each shard's n-grams of a range with their sums over all shards, and the range's tokens and words."""
+    r, names = key[0].as_py(), table.schema
     rows: list[tuple] = []
-    r = key[0].as_py()
-    shards, kinds = table.column("shard").to_pylist(), table.column("kind").to_pylist()
-    for kind, bits in enumerate(_KIND_BITS):
-        mine = [i for i, k in enumerate(kinds) if k == kind]
-        if not mine:
-            continue
-        keys = [np.cumsum(_from_planes(table.column("keys")[i].as_py(), bits // 8)) for i in mine]
-        counts = np.concatenate([_from_planes(table.column("counts")[i].as_py(), 4) for i in mine]).astype(np.int64)
+    kinds, shards, data = table.column("kind").to_numpy(), table.column("shard").to_numpy(), table.column("data")
+    for kind in sorted(set(kinds.tolist())):
+        mine = np.flatnonzero(kinds == kind).tolist()
+        parts = [data[i].as_py() for i in mine]
+        keys = [np.cumsum(_unpacked(p[0]), dtype=np.uint64) for p in parts]
+        counts = np.concatenate([_unpacked(p[1]) for p in parts]).astype(np.int64)
         distinct, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-        sums = np.bincount(inverse, weights=counts, minlength=len(distinct)).astype(np.int64)
+        sums = np.zeros(len(distinct), dtype=np.int64)
+        np.add.at(sums, inverse, counts)
         at = 0
         for i, own in zip(mine, keys, strict=True):
-            rows.append((shards[i], r, kind, _planes(sums[inverse[at : at + len(own)]], 6), 0, 0))
+            rows.append((r, int(shards[i]), kind, [_packed(sums[inverse[at : at + len(own)]])], None, None, None, None))
             at += len(own)
-        if kind == 0:
-            rows.append((-1, r, 2, b"", int(sums.sum()), int((sums > 0).sum())))
-    kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64())
-    return pa.table([pa.array([x[k] for x in rows], t) for k, t in enumerate(kinds)], names=["shard", "range", "kind", "sums", "tokens", "distinct"])
-
-
-def _scorer(total: int, distinct: int, mass: float):
-    def run(docs, sums):
-        grams = ShardGrams(docs.column("text").to_pylist())
-        found = []
-        order = sums.sort_by([("kind", "ascending"), ("range", "ascending")])
-        kinds = order.column("kind").to_numpy()
-        for kind in (0, 1):
-            parts = [_from_planes(order.column("sums")[int(i)].as_py(), 6) for i in np.flatnonzero(kinds == kind)]
-            own = np.empty(len(grams.order[kind]), dtype=np.int64)
-            own[grams.order[kind]] = np.concatenate(parts) if parts else []
-            found.append(own)
-        words, pairs = found
-        automaton = Automaton(words, grams.pairs, pairs, total, distinct, mass)
-        scores = automaton.traverse(grams)
-        n = len(grams.lengths)
-        doc = np.repeat(np.arange(n), grams.lengths)
-        base = np.bincount(doc, weights=automaton.root[grams.tokens], minlength=n)
-        known = np.bincount(doc, weights=words[grams.tokens] > 0, minlength=n).astype(np.int64)
+        if kind == 1:
+            rows.append((r, -1, _TOTALS, None, None, None, int(sums.sum()), int((sums > 0).sum())))
+    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), names, strict=True)], schema=names)
+
+
+def _scorer(total: int, distinct: int, order: int, masses):
+    def run(listed, table):
+        kinds, data = table.column("kind").to_numpy(), table.column("data")
+        if listed.num_rows != 1:
+            raise ValueError(_UNSTABLE)
+        docs = Documents.unpacked(listed.column("data")[0].as_py())
+        grams, counts, ranges = Grams(docs, order), [], table.column("range").to_numpy()
+        for k in range(1, order + 1):
+            mine = np.flatnonzero(kinds == k)
+            parts = [_unpacked(data[int(i)].as_py()[0]) for i in mine[np.argsort(ranges[mine], kind="stable")]]
+            counts.append(np.concatenate([np.zeros(0, dtype="<u8"), *parts]).astype(np.int64))
+        if [len(c) for c in counts] != [len(k) for k in grams.keys]:
+            raise ValueError(_UNSTABLE)
+        automaton = Automaton(grams, counts, total, distinct, masses)
+        n, at = len(docs.lengths), grams.at[0]
+        doc = np.repeat(np.arange(n), docs.lengths)
+        base = np.bincount(doc, weights=automaton.root[at], minlength=n)
+        known = np.bincount(doc, weights=counts[0][at] > 0, minlength=n).astype(np.int64)
+        ids, train = listed.column("ids")[0].values, np.array(listed.column("train")[0].as_py(), dtype=bool)
         return pa.table(
-            [docs.column("doc_id"), pa.array(~docs.column("train").to_numpy(zero_copy_only=False).astype(bool)), pa.array(grams.lengths), pa.array(known), pa.array(np.full(n, total)), pa.array(base), pa.array(scores)],
+            [ids, pa.array(~train), pa.array(docs.lengths), pa.array(known), pa.array(np.full(n, total)), pa.array(base), pa.array(automaton.traverse())],
             names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
         )
 
     return run
 
 
-def score(docs: DataFrame, mass: float = MASS) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for every row of docs."""
-    spark = docs.sparkSession
-    width = shuffle_width(spark)
-    dealt = docs.select(
-        "doc_id",
-        "text",
-        (remainder("doc_id", 10) != 0).alias("train"),
-        F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(SHARDS_PER_PARTITION * width)).cast("int").alias("shard"),
-    )
-    listed = dealt.groupBy("shard").applyInArrow(_extract(width), "range int, shard int, kind int, keys binary, counts binary")
-    sums = checkpointed(listed.groupBy("range").applyInArrow(_sum_range, "shard int, range int, kind int, sums binary, tokens long, distinct long"))
-    totals = sums.filter("shard = -1").agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
+def score(docs: DataFrame, masses=MASSES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for every row of docs; the order is one more than the masses."""
+    spark, order = docs.sparkSession, len(masses) + 1
+    small_batches(spark)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    own = sums.filter("shard >= 0").select("shard", "range", "kind", "sums")
-    run = _scorer(totals[0], totals[1], mass)
+    schema = f"range int, shard long, kind int, data array<binary>, ids array<{kind}>, train array<boolean>, tokens long, distinct long"
+    rows = docs.select("doc_id", "text", (remainder("doc_id", 10) != 0).alias("train"))
+    listed = rows.mapInArrow(_lister(_gram_rows(shuffle_width(spark), order), shard_bytes), schema)
+    sums = checkpointed(listed.groupBy("range").applyInArrow(_sum_range, schema))
+    totals = sums.filter(F.col("kind") == _TOTALS).agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
+    own = sums.filter(F.col("kind") != _TOTALS).select("shard", "range", "kind", "data")
+    dealt = rows.mapInArrow(_lister(_document_row, shard_bytes), schema).select("shard", "data", "ids", "train")
+    run = _scorer(totals[0], totals[1], order, masses)
     return dealt.groupBy("shard").cogroup(own.groupBy("shard")).applyInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
