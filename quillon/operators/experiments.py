@@ -49,7 +49,17 @@ def natural_order(name: Column) -> list[Column]:
 
 
 def choose(found: DataFrame, first: int | None = None, last: int | None = None, index: int | None = None) -> DataFrame:
-    """All checkpoints of each adapter, or the first or last some, or that with a number from 1."""
+    """All checkpoints of each adapter, or the first or last some, or that with a number from 1.
+
+    An adapter that has fewer than are asked for, or none with the number, is an error."""
+    if sum(x is not None for x in (first, last, index)) > 1:
+        raise ValueError("first, last and index exclude each other")
+    wanted = next((x for x in (first, last, index) if x is not None), 0)
+    if wanted < 0 or (wanted == 0 and index is not None):
+        raise ValueError(f"{wanted} is not counted from 1")
+    short = found.groupBy("adapter").count().filter(F.col("count") < wanted).orderBy("adapter").limit(3).collect() if wanted else []
+    if short:
+        raise ValueError(f"fewer than {wanted} checkpoints: {[(r['adapter'], r['count']) for r in short]}")
     own = Window.partitionBy("adapter")
     at = F.row_number().over(own.orderBy(*natural_order(F.col("checkpoint"))))
     out = found.withColumn("at", at).withColumn("n", F.count("*").over(own))

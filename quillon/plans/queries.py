@@ -11,7 +11,7 @@ from quillon.functions import text as tx
 from quillon.functions.code_similarity import code_similarity
 from quillon.functions.python_code import complexity_of, documented_function, entry_point_anywhere, entry_point_at_margin, syntax_report
 from quillon.functions.text_scores import forget_quality as forget_scores
-from quillon.operators import cluster, compose, curate, experiments, harden, histogram, pairs, select
+from quillon.operators import cluster, compose, curate, experiments, harden, histogram, pairs, report, select
 from quillon.plans import fixtures
 
 QUERIES: dict = {}
@@ -486,3 +486,109 @@ def tpch_smoke_join(spark, sf_dir):
     joined = items.join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     summed = joined.groupBy("n_name", "o_orderpriority").agg(F.count("*").alias("n_orders"), F.sum("l_quantity").alias("quantity"))
     return summed.withColumn("rank", F.row_number().over(Window.partitionBy("n_name").orderBy(F.desc("n_orders"), "o_orderpriority")))
+
+
+@query("SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS row_index FROM documents")
+def row_index(spark, sf_dir):
+    return report.with_row_index(table(spark, sf_dir, "documents").select("doc_id"), "doc_id")
+
+
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS row_index FROM orders QUALIFY row_index >= 100 AND row_index < 250")
+def row_ranges(spark, sf_dir):
+    return report.row_range(report.with_row_index(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey"), 100, 250)
+
+
+@query("SELECT NULL::VARCHAR AS row_id, NULL::VARCHAR AS id, NULL::VARCHAR AS task_id, source, NULL::VARCHAR AS type, NULL::VARCHAR AS difficulty, NULL::VARCHAR AS entry_point, NULL::VARCHAR AS title FROM documents")
+def row_summaries(spark, sf_dir):
+    return report.row_summary(table(spark, sf_dir, "documents"))
+
+
+@query("SELECT doc_id, '<row ' || doc_id || '>' AS task_id FROM documents")
+def default_task_ids(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", report.task_id(docs, "doc_id").alias("task_id"))
+
+
+@query(_Z + " SELECT i, j, round(s, 6) AS centered_score, round(r, 6) AS raw_score FROM p WHERE s >= 0.45 OR r >= 0.97")
+def pairs_above_either(spark, sf_dir):
+    found = pairs.cosine_pairs(table(spark, sf_dir, "embeddings"), -2.0)
+    return found.filter(report.above(F.col("centered_score"), 0.45, F.col("raw_score"), 0.97)).select("i", "j", "centered_score", "raw_score")
+
+
+@query(f"WITH q AS ({SQL['jaccard_pairs_above']}) SELECT i, j, jaccard FROM q ORDER BY jaccard DESC, i, j LIMIT 20")
+def top_pairs(spark, sf_dir):
+    return report.ranked_pairs(jaccard_pairs_above(spark, sf_dir), "jaccard").select("i", "j", "jaccard").limit(20)
+
+
+@query("SELECT label, count(*) AS n, count(*) * (count(*) - 1) // 2 AS pairs, count(*) * (count(*) - 1) AS directed FROM embeddings GROUP BY 1")
+def label_distribution(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").groupBy("label").agg(F.count("*").alias("n")).withColumn("c", report.pair_counts(F.col("n"))).select("label", "n", "c.pairs", "c.directed")
+
+
+_BUCKET = "CASE WHEN l_quantity BETWEEN 1 AND 10 THEN 'simple' WHEN l_quantity > 10 AND l_quantity <= 20 THEN 'moderate' WHEN l_quantity > 20 AND l_quantity <= 30 THEN 'complex' WHEN l_quantity <= 50 THEN 'out-of-range' END"
+
+
+@query(f"SELECT list_position(['simple', 'moderate', 'complex', 'out-of-range', 'error'], value)::INTEGER AS at, value, n FROM (SELECT {_BUCKET} AS value, count(*) AS n FROM lineitem GROUP BY 1) WHERE value IS NOT NULL")
+def bucket_counts(spark, sf_dir):
+    return report.ordered_counts(table(spark, sf_dir, "lineitem").select(F.expr(_BUCKET).alias("bucket")), "bucket")
+
+
+@query("SELECT doc_id FROM documents LEFT JOIN labels USING (doc_id) WHERE NOT coalesce(quality = 1, false)")
+def mismatch_rows(spark, sf_dir):
+    joined = table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    return report.mismatches(joined.withColumn("ok", F.col("quality") == 1)).select("doc_id")
+
+
+@query("""SELECT o_custkey AS idx, count(*) FILTER (o_orderstatus = 'O') AS survived, (list(o_orderkey ORDER BY o_orderkey) FILTER (o_orderstatus = 'O'))[1:50] AS survived_ids
+FROM orders GROUP BY 1 HAVING count(*) FILTER (o_orderstatus = 'O') > 0""")
+def survivor_report(spark, sf_dir):
+    alive = F.col("o_orderstatus") == "O"
+    rows = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("idx")).agg(F.count_if(alive).alias("survived"), F.sort_array(F.collect_list(F.when(alive, F.col("o_orderkey")))).alias("survived_ids"))
+    return report.survivors(rows)
+
+
+@query("""SELECT count(*) AS jobs, count(*) FILTER (coalesce(quality, 0) = 0) AS failed, list(DISTINCT doc_id::VARCHAR ORDER BY doc_id::VARCHAR) FILTER (coalesce(quality, 0) = 0) AS failed_jobs,
+max((coalesce(quality, 0) = 0)::INTEGER) AS exit_code FROM labels""")
+def job_failures(spark, sf_dir):
+    runs = table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("job"), F.when(F.col("quality") == 1, 0).when(F.col("quality") == 0, 1).alias("exit_code"))
+    return report.failures(runs)
+
+
+_FACTS = "SELECT 'm' || user_id % 3 AS model, CASE WHEN event_type = 'view' THEN 'base' ELSE event_type END AS method, 'v' || user_id % 2 AS variant, (user_id % 4)::INTEGER AS epoch, CASE WHEN user_id % 5 < 2 THEN 'utility' ELSE 'energy' END AS metric, value FROM events"
+
+
+@query(f"""WITH f AS ({_FACTS}), w AS (SELECT model, method, variant, epoch, avg(value) FILTER (metric = 'utility') AS u, avg(value) FILTER (metric = 'energy') AS e FROM f GROUP BY ALL),
+b AS (SELECT model, avg(value) FILTER (metric = 'utility') AS bu, avg(value) FILTER (metric = 'energy') AS be FROM f WHERE method = 'base' GROUP BY 1)
+SELECT model, method, variant, epoch, round(u, 6) AS utility, round(e, 6) AS energy, round(u - bu, 6) AS utility_change, round(e - be, 6) AS energy_change FROM w LEFT JOIN b USING (model) WHERE method <> 'base'""")
+def trade_off_analysis(spark, sf_dir):
+    of = lambda name, n: F.concat(F.lit(name), (F.col("user_id") % n).cast("string"))
+    facts = table(spark, sf_dir, "events").select(
+        of("m", 3).alias("model"), F.when(F.col("event_type") == "view", "base").otherwise(F.col("event_type")).alias("method"), of("v", 2).alias("variant"),
+        (F.col("user_id") % 4).cast("int").alias("epoch"), F.when(F.col("user_id") % 5 < 2, "utility").otherwise("energy").alias("metric"), "value",
+    )
+    return report.trade_offs(facts, ("utility", "energy"))
+
+
+@query(f"SELECT DISTINCT adapter, 'epoch-' || e AS checkpoint FROM {fixtures.values(fixtures.PATHS, 'adapter, path')} CROSS JOIN (VALUES (4), (8), (12)) t(e) WHERE regexp_matches(path, '^checkpoint-[0-9]+(/|$)')")
+def default_checkpoints(spark, sf_dir):
+    return report.chosen_checkpoints(spark, [], experiments.checkpoints(fixtures.paths(spark)), False)
+
+
+@query(SQL["job_matrix"].replace("SELECT *, concat_ws", "SELECT setting, 'results/' || model || '/' || method || CASE WHEN batch_order <> '' THEN '/' || batch_order ELSE '' END || '/epoch-4/forget.jsonl' AS path, CASE WHEN setting = 'rq1' THEN 'secret' ELSE 'code' END AS target, concat_ws"))
+def result_layout(spark, sf_dir):
+    jobs = experiments.job_matrix(spark)
+    path = report.result_path("results/", F.col("model"), F.col("method"), F.col("batch_order"), F.lit("epoch-4"), F.lit("forget"))
+    kind = F.when(F.col("setting") == "rq1", "secret").otherwise("code_unit")
+    return jobs.select("setting", path.alias("path"), report.setting_columns(kind)["target"].alias("target"), "job")
+
+
+@query("SELECT vec_id, i::INTEGER - 1 AS dim, round(x::DOUBLE / greatest(sqrt(list_dot_product(e, e)), 1e-12), 6) AS x FROM (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings)")
+def unit_vectors(spark, sf_dir):
+    unit = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(report.unit_rows(F.col("embedding"))).alias("dim", "x"))
+    return unit.select("vec_id", "dim", F.round("x", 6).alias("x"))
+
+
+@query("WITH t AS (" + SQL["ctfidf_top_terms"] + ") SELECT lang, n, terms FROM (SELECT coalesce(lang, '-1') AS lang, count(*) AS n FROM documents GROUP BY 1) LEFT JOIN (SELECT lang, list(term ORDER BY rank) AS terms FROM t GROUP BY 1) USING (lang)")
+def topic_overview(spark, sf_dir):
+    assigned = table(spark, sf_dir, "documents").select(F.coalesce("lang", F.lit("-1")).alias("lang"))
+    return report.topic_info(assigned, ctfidf_top_terms(spark, sf_dir), "lang")
