@@ -238,7 +238,7 @@ def near_duplicate_groups(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFr
         differ = F.aggregate(F.zip_with("w1", "w2", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
         shared = F.size(F.array_intersect("g1", "g2"))
         alike = shared >= LEAST_SIMILARITY * (F.size("g1") + F.size("g2") - shared) - 1e-9
-        return lambda pairs: pairs.join(side("a", 1), "a").join(side("b", 2), "b").filter((differ <= WIDE_BITS) & alike).select("a", "b")
+        return lambda pairs: pairs.join(side("a", 1), "a").join(side("b", 2), "b").filter((differ <= WIDE_BITS) & alike).select("a", "b"), None
 
     groups = linked_groups(_wide_buckets(distinct), lambda a, b: F.bit_count(a.bitwiseXOR(b)) <= GATE_BITS, prepare)
     return fps, distinct.select("h", "first"), groups
