@@ -136,7 +136,10 @@ def test_pass_at_k_and_checkpoints(spark):
     assert all((a is None) == (b is None) and (a is None or math.isclose(a, b)) for a, b in zip(got, want, strict=True))
     found = experiments.checkpoints(fixtures.paths(spark))
     assert [r.checkpoint for r in experiments.choose(found, last=1).orderBy("adapter").collect()] == ["checkpoint-12", "checkpoint-100"]
-    assert {r.alias for r in experiments.with_alias(experiments.choose(found, index=3)).collect()} == {"epoch-1"}
+    three = found.groupBy("adapter").count().filter("count >= 3").select("adapter")
+    assert {r.alias for r in experiments.with_alias(experiments.choose(found.join(three, "adapter", "left_semi"), index=3)).collect()} == {"epoch-1"}
+    with pytest.raises(ValueError):  # an adapter has only two
+        experiments.choose(found, index=3)
 
 
 def test_execution_is_opt_in(spark):
