@@ -10,6 +10,9 @@ MARKS = {"killed": "🎉", "survived": "🙁", "timeout": "⏰", "suspicious": "
 STATUSES = ("killed", "survived", "timeout", "suspicious")
 
 
+#: The formats of the tool's progress lines, headed counts and lines of ids are those that the patterns below read.
+
+
 def _number(text: Column, pattern: str) -> Column:
     return F.coalesce(F.nullif(F.regexp_extract(text, pattern, 1), F.lit("")).cast("int"), F.lit(0))
 

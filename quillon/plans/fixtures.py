@@ -21,9 +21,9 @@ CODE = [
 ]
 
 LOGS = [
-    (1, "⠋ 3/31 🎉 2 🙁 1\n31/31  🎉 26 🫥 0  ⏰ 1  🤔 0  🙁 4  🔇 0", "source.x_f__mutmut_1: survived\nsource.x_f__mutmut_2: no tests\n"),
-    (2, "no progress", "Killed 🎉 (10)\nSurvived 🙁 (2)\n\n---- 3, 7\n"),
-    (3, "5/5 🎉 5", "Survived (2):\n  source.py:3\n  source.py:9\n"),
+    (1, "started\n⠙ 6/48 🎉 5 🙁 1\n48/48  🎉 39 🫥 2  ⏰ 0  🤔 1  🙁 6  🔇 0\n", "cart.x_total__mutmut_5: survived\ncart.x_total__mutmut_8: no tests\n"),
+    (2, "nothing was counted", "Killed 🎉 (17)\nSurvived 🙁 (3)\n\n---- 12, 40, 41\n"),
+    (3, "9/9 🎉 8 🙁 1", "Survived (1):\n  cart.py:27\n"),
 ]
 
 DIFFS = [

@@ -126,7 +126,7 @@ def test_buckets_and_programs(spark):
 def test_mutants(spark):
     df = fixtures.logs(spark).select("idx", harden.ids_for(F.col("results"), "Survived").alias("s"), harden.ids_for(F.col("results"), "No coverage").alias("n"))
     got = {r.idx: (r.s, r.n) for r in df.collect()}
-    assert got == {1: (["source.x_f__mutmut_1"], ["source.x_f__mutmut_2"]), 2: (["3", "7"], []), 3: (["source.py:3", "source.py:9"], [])}
+    assert got == {1: (["cart.x_total__mutmut_5"], ["cart.x_total__mutmut_8"]), 2: (["12", "40", "41"], []), 3: (["cart.py:27"], [])}
 
 
 def test_pass_at_k_and_checkpoints(spark):
