@@ -38,7 +38,7 @@ ORDER = 3
 MASSES = (200.0, 20.0)
 ADD = 0.1
 #: Bytes of text from which a shard is full.
-SHARD_BYTES = 24 << 20
+SHARD_BYTES = 20 << 20
 #: No word holds white space.
 END, START = b"\n", b"\r"
 _SPLIT = 24
@@ -97,12 +97,12 @@ class Grams:
 
     def __init__(self, docs: Documents, order: int = ORDER):
         self.docs, n = docs, len(docs.tokens)
-        self.place = np.arange(n) - np.repeat(np.cumsum(docs.lengths) - docs.lengths, docs.lengths)
+        self.place = (np.arange(n) - np.repeat(np.cumsum(docs.lengths) - docs.lengths, docs.lengths)).astype(np.int32)
         self.keys: list[np.ndarray] = []
         self.at: list[np.ndarray] = []
         words, self.number = np.unique(docs.hashes, return_inverse=True)
         self.keys.append(words)
-        self.at.append(self.number[docs.tokens])
+        self.at.append(self.number[docs.tokens].astype(np.int32))
         word, history = docs.hashes[docs.tokens], None
         for k in range(2, order + 1):
             # the history of a document's first token is the start; longer ones begin further on
@@ -112,7 +112,7 @@ class Grams:
             own = _joined(before, word)
             good = self.place >= k - 2
             keys, inverse = np.unique(own[good], return_inverse=True)
-            at = np.full(n, -1, dtype=np.int64)
+            at = np.full(n, -1, dtype=np.int32)
             at[good] = inverse
             self.keys.append(keys)
             self.at.append(at)
@@ -136,43 +136,35 @@ class Automaton:
         # a training document has one start and one end, which nothing follows
         contexts[starts], contexts[grams.number[0]] = words[grams.number[0]], 0.0
         at = grams.at
-        #: For each order the weight at each token of its arc and whether there is one, and of the failure arc from the state before.
-        self.weights, self.has, self.failure = [self.root[at[0]]], [np.ones(len(at[0]), dtype=bool)], [np.zeros(len(at[0]))]
+        #: For each length of the state before a token: the weight of the arc, failure arcs included.
+        self.weights = np.empty((len(counts), len(at[0])))
+        self.weights[0] = self.root[at[0]]
+        #: The length of the state after a token: the longest n-gram, less than the full order, that ends there and occurs in training.
+        self.after = (counts[0][at[0]] > 0).astype(np.int8)
         probability, n = p[at[0]], len(at[0])
         for k in range(2, len(counts) + 1):
             own, mass = at[k - 1], masses[k - 2]
-            good = own >= 0
             if k == 2:
-                before = np.where(grams.place == 0, starts, np.concatenate([[0], at[0][:-1]])[:n])
+                before = np.where(grams.place == 0, starts, np.concatenate([at[0][:1], at[0][:-1]]))
                 of_history = contexts[before]
             else:
-                before = np.concatenate([[-1], at[k - 2][:-1]])[:n]
-                of_history = np.where(good, counts[k - 2][before], 0).astype(np.float64) if len(counts[k - 2]) else np.zeros(n)
-            c = np.where(good, counts[k - 1][own], 0) if len(counts[k - 1]) else np.zeros(n, dtype=np.int64)
-            probability = np.where(c > 0, (c + mass * probability) / (of_history + mass), mass * probability / (of_history + mass))
-            self.weights.append(np.log10(probability))
-            self.has.append(c > 0)
-            self.failure.append(np.log10(mass / (of_history + mass)))
-
-    def resolved(self) -> tuple[np.ndarray, np.ndarray]:
-        """For each length of the state before a token: the weight of the arc, failure arcs included; and the length of the state after it."""
-        out = [self.weights[0]]
-        for k in range(1, len(self.weights)):
-            out.append(np.where(self.has[k], self.weights[k], self.failure[k] + out[-1]))
-        # the longest n-gram that ends here and occurs in training, less one word if it is of the full order, is the next state
-        after = (self.counts[0][self.grams.at[0]] > 0).astype(np.int64)
-        for k in range(2, len(self.weights)):
-            after = np.where(self.has[k - 1], k, after)
-        return np.array(out), after
+                before = np.concatenate([at[k - 2][:1], at[k - 2][:-1]])
+                of_history = np.where(own >= 0, counts[k - 2][before], 0).astype(np.float64) if len(counts[k - 2]) else np.zeros(n)
+            del before
+            c = np.where(own >= 0, counts[k - 1][own], 0) if len(counts[k - 1]) else np.zeros(n, dtype=np.int64)
+            probability = (c + mass * probability) / (of_history + mass)
+            # an arc where there is one, else the failure arc and what the shorter state does
+            self.weights[k - 1] = np.where(c > 0, np.log10(probability), np.log10(mass / (of_history + mass)) + self.weights[k - 2])
+            if k < len(counts):
+                self.after[c > 0] = k
 
     def traverse(self) -> np.ndarray:
         """Each document's sum of weights: the state goes from token to token; all documents advance by one token at a time."""
-        weights, after = self.resolved()
-        docs = self.grams.docs
+        weights, after, docs = self.weights, self.after, self.grams.docs
         order = np.argsort(-docs.lengths, kind="stable")
         lengths = docs.lengths[order]
         at = (np.cumsum(docs.lengths) - docs.lengths)[order]
-        total, state = np.zeros(len(order)), np.ones(len(order), dtype=np.int64)  # the state of the start
+        total, state = np.zeros(len(order)), np.ones(len(order), dtype=np.int8)  # the state of the start
         steps, live = int(lengths[0]) if len(order) else 0, len(order)
         alive = len(order) - np.searchsorted(np.sort(lengths), np.arange(steps), side="right")
         for step in range(steps):

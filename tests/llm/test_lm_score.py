@@ -83,7 +83,7 @@ def test_weights_after_every_state_sum_to_one():
         grams = lm.Grams(docs, 3)
         counts = grams.counts(np.arange(len(docs.lengths)) < len(taught))
         auto = lm.Automaton(grams, counts, int(counts[0].sum()), int((counts[0] > 0).sum()), (3.0, 2.0))
-        weights, after = auto.resolved()
+        weights, after = auto.weights, auto.after
         ends = np.cumsum(docs.lengths)[len(taught) :] - 1
         at = [e if w is None else e - 1 for e, w in zip(ends, words, strict=True)]
         states = [1 if not history else int(after[i - 1]) for i in at]
