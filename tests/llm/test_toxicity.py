@@ -54,3 +54,10 @@ def test_edges(spark):
     assert t.judge(docs, labels).count() == 5
     assert {r.score for r in t.judge(docs, labels.limit(0)).collect()} == {0.0}
     assert t.judge(docs.limit(0), labels).count() == 0
+
+
+def test_significant_passages_are_returned(spark):
+    model = t.SegmentModel({"vile": 3.0, "foul": 3.0}, lam=1.0, k=1.0, curve=(-1.0, 0.1, 1.0), scale=1.0)
+    rows = [(1, "a b vile foul c d e"), (2, "nothing here"), (3, None)]
+    out = {r.doc_id: r.passages for r in t.score(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert [(p.start, p.end) for p in out[1]] == [(2, 4)] and out[1][0].s > t.SIGNIFICANT and out[2] == out[3] == []
