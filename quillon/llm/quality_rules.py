@@ -47,7 +47,7 @@ def _ratio(above: Column, below: Column) -> Column:
 def _repeat_words(words: Column) -> Column:
     """Words inside WINDOW-word windows that occur twice or more in the text.
 
-    Windows are compared by two independent 64-bit hashes of their words. Only a text in which some
+    Windows are compared by one 64-bit hash of their words' hashes. Only a text in which some
     hash repeats sorts its windows, so the cost is linear for clean texts and n log n for others.
     """
     width = WINDOW
