@@ -47,6 +47,19 @@ def test_cross_labels_treat_nulls_as_alike(spark):
     assert {(r.i, r.j) for r in pairs.cosine_pairs(df, -2.0, label="label", block_rows=2).collect()} == {(1, 3), (1, 4), (2, 3), (2, 4)}
 
 
+def test_pairs_above_either_threshold_leave_the_blocks_alone(spark):
+    rng = random.Random(4)
+    rows = [(i, [rng.gauss(0.3, 0.5) for _ in range(6)]) for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    scores = {(r.i, r.j): (r.centered_score, r.raw_score) for r in pairs.cosine_pairs(df, -2.0).collect()}
+    want = {p for p, (s, r) in scores.items() if s >= 0.6 or r >= 2.0}
+    assert 0 < len({p for p in want if scores[p][0] < 0.6}) < len(want) < len(scores)
+    assert {(r.i, r.j) for r in pairs.cosine_pairs(df, 0.6, raw_least=2.0, block_rows=16).collect()} == want
+    # the scores decide, not what is reported of them: 0.9999995 is not 1
+    near = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.9999996, 0.0])], "vec_id long, embedding array<double>")
+    assert pairs.cosine_pairs(near, 2.0, raw_least=1.0).count() == 0
+
+
 def test_jaccard_matches_brute_force(spark):
     rng = random.Random(9)
     rows = [(i, " ".join(rng.choice("abcdefgh") for _ in range(rng.randint(0, 8)))) for i in range(120)]
