@@ -80,16 +80,16 @@ class Documents:
     def of(cls, texts: list[str | None]) -> Documents:
         ids = _Ids({END: 0, START: 1})
         get = ids.__getitem__
-        parts = [np.fromiter(map(get, [*(t or "").encode("utf-8", "replace").lower().split(), END]), dtype=np.int64) for t in texts]
+        parts = [np.fromiter(map(get, [*(t or "").encode("utf-8", "replace").lower().split(), END]), dtype=np.int32) for t in texts]
         lengths = np.array([len(p) for p in parts], dtype=np.int64)
-        return cls(lengths, np.concatenate([np.zeros(0, dtype=np.int64), *parts]), np.fromiter(map(xxhash.xxh64_intdigest, ids), dtype=np.uint64, count=len(ids)))
+        return cls(lengths, np.concatenate([np.zeros(0, dtype=np.int32), *parts]), np.fromiter(map(xxhash.xxh64_intdigest, ids), dtype=np.uint64, count=len(ids)))
 
     def packed(self) -> list[bytes]:
         return [_packed(self.lengths), _packed(self.tokens), self.hashes.astype("<u8").tobytes()]
 
     @classmethod
     def unpacked(cls, parts: list[bytes]) -> Documents:
-        return cls(_unpacked(parts[0]).astype(np.int64), _unpacked(parts[1]).astype(np.int64), np.frombuffer(parts[2], dtype="<u8"))
+        return cls(_unpacked(parts[0]).astype(np.int64), _unpacked(parts[1]).astype(np.int32), np.frombuffer(parts[2], dtype="<u8"))
 
 
 class Grams:
@@ -100,9 +100,10 @@ class Grams:
         self.place = (np.arange(n) - np.repeat(np.cumsum(docs.lengths) - docs.lengths, docs.lengths)).astype(np.int32)
         self.keys: list[np.ndarray] = []
         self.at: list[np.ndarray] = []
-        words, self.number = np.unique(docs.hashes, return_inverse=True)
+        words, number = np.unique(docs.hashes, return_inverse=True)
+        self.number = number.astype(np.int32)
         self.keys.append(words)
-        self.at.append(self.number[docs.tokens].astype(np.int32))
+        self.at.append(self.number[docs.tokens])
         word, history = docs.hashes[docs.tokens], None
         for k in range(2, order + 1):
             # the history of a document's first token is the start; longer ones begin further on
@@ -110,10 +111,12 @@ class Grams:
             if history is None:
                 before = np.where(self.place == 0, docs.hashes[1], before)
             own = _joined(before, word)
+            del before
             good = self.place >= k - 2
             keys, inverse = np.unique(own[good], return_inverse=True)
             at = np.full(n, -1, dtype=np.int32)
             at[good] = inverse
+            del inverse, good
             self.keys.append(keys)
             self.at.append(at)
             history = own
@@ -151,10 +154,18 @@ class Automaton:
                 before = np.concatenate([at[k - 2][:1], at[k - 2][:-1]])
                 of_history = np.where(own >= 0, counts[k - 2][before], 0).astype(np.float64) if len(counts[k - 2]) else np.zeros(n)
             del before
+            # in place, as each of these has a number for every token of the shard
+            of_history += mass
             c = np.where(own >= 0, counts[k - 1][own], 0) if len(counts[k - 1]) else np.zeros(n, dtype=np.int64)
-            probability = (c + mass * probability) / (of_history + mass)
+            probability *= mass
+            probability += c
+            probability /= of_history
             # an arc where there is one, else the failure arc and what the shorter state does
-            self.weights[k - 1] = np.where(c > 0, np.log10(probability), np.log10(mass / (of_history + mass)) + self.weights[k - 2])
+            out = self.weights[k - 1]
+            np.log10(np.divide(mass, of_history, out=out), out=out)
+            out += self.weights[k - 2]
+            np.log10(probability, out=out, where=c > 0)
+            del of_history
             if k < len(counts):
                 self.after[c > 0] = k
 
@@ -271,6 +282,8 @@ def _scorer(total: int, distinct: int, order: int, masses):
             counts.append(np.concatenate([np.zeros(0, dtype="<u8"), *parts]).astype(np.int64))
         if [len(c) for c in counts] != [len(k) for k in grams.keys]:
             raise ValueError(_UNSTABLE)
+        # the automaton is over numbers: what they were made from goes before it is built
+        grams.keys, docs.tokens, docs.hashes = [], None, None
         automaton = Automaton(grams, counts, total, distinct, masses)
         n, at = len(docs.lengths), grams.at[0]
         doc = np.repeat(np.arange(n), docs.lengths)

@@ -1,7 +1,10 @@
+import tracemalloc
 import zlib
 from collections import Counter
 from math import isclose, log10
 
+import numpy as np
+
 from quillon.llm import lm_score as lm
 
 SF = "/root/testdata/sf0.001"
@@ -100,3 +103,19 @@ def test_a_repeated_training_text_scores_apart(spark):
     fresh = [(i, text(i, 104729, 57)) for i in range(5000, 5200) if held_out(i)]
     found = {r.doc_id: r.score / r.n_tokens for r in lm.score(spark.createDataFrame(rows + copies + fresh, "doc_id long, text string")).collect()}
     assert len(copies) > 10 and min(found[i] for i, _ in copies) > max(found[i] for i, _ in fresh) + 0.3
+
+
+def test_memory_of_a_shard_per_token():
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{x}" for x in rng.zipf(1.3, 2000) % 50_000) for _ in range(100)]
+    docs = lm.Documents.of(texts)
+    n = len(docs.tokens)
+    tracemalloc.start()
+    grams = lm.Grams(docs)
+    counts = grams.counts(np.ones(len(texts), dtype=bool))
+    tracemalloc.reset_peak()
+    start = tracemalloc.get_traced_memory()[0]
+    lm.Automaton(grams, counts, n, len(grams.keys[0]))
+    used = tracemalloc.get_traced_memory()[1] - start
+    tracemalloc.stop()
+    assert docs.tokens.nbytes + used < 74 * n, (docs.tokens.nbytes + used) / n
