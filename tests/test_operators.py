@@ -60,6 +60,18 @@ def test_pairs_above_either_threshold_leave_the_blocks_alone(spark):
     assert pairs.cosine_pairs(near, 2.0, raw_least=1.0).count() == 0
 
 
+def test_jaccard_shuffles_no_token_that_one_document_has(spark):
+    words = 150
+    rows = [(i, " ".join(f"d{i}w{k}" for k in range(words))) for i in range(60)] + [(60, " ".join(f"d7w{k}" for k in range(2, words)))]
+    store = spark.sparkContext._jsc.sc().statusStore
+    stages = lambda: spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(store().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None))
+    before = {s.stageId() for s in stages()}
+    got = pairs.jaccard_pairs(spark.createDataFrame(rows, "doc_id long, text string"), 0.6).collect()
+    assert [(r.i, r.j) for r in got] == [(7, 60)]
+    written = sum(s.shuffleWriteRecords() for s in stages() if s.stageId() not in before)
+    assert written < 1.5 * 61 * words, written
+
+
 def test_jaccard_matches_brute_force(spark):
     rng = random.Random(9)
     rows = [(i, " ".join(rng.choice("abcdefgh") for _ in range(rng.randint(0, 8)))) for i in range(120)]
