@@ -25,7 +25,7 @@ import heapq
 import re
 import zlib
 from array import array
-from operator import itemgetter
+from operator import add, itemgetter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -39,7 +39,7 @@ N_BEST = 4
 UNKNOWN_PENALTY = 10.0
 SPACE = "▁"
 #: Parts that a worker remembers; it forgets all of them when there are more.
-REMEMBERED = 800_000
+REMEMBERED = 1_600_000
 #: Characters of a part that is not remembered, and is searched without a list of its edges.
 LONG = 4096
 _NONE = float("inf")
@@ -68,6 +68,13 @@ class PieceLattice:
         for piece in list(self.ids):
             for end in range(1, len(piece)):
                 self.scores.setdefault(piece[:end], None)
+        #: The same scores by characters: each leads to a score (None within a piece) and to what may follow.
+        self.tree: dict[str, tuple] = {}
+        for piece in sorted(self.scores):
+            level = self.tree
+            for ch in piece[:-1]:
+                level = level[ch][1]
+            level[piece[-1]] = (self.scores[piece], {})
         self.pairs = pairs
         self.pieces = [model.id_to_piece(i) for i in range(model.get_piece_size())]
         self.values = {i: b for b, i in self.bytes.items()}
@@ -150,74 +157,85 @@ class PieceLattice:
                 out.extend(self.bytes[x] for x in piece.encode("utf-8", "replace"))
         return out
 
-    def _atom(self, part: str) -> tuple[float, float, bytes]:
-        """(best score, loss of the second best, ids of the best) of a part."""
+    def _atom(self, part: str) -> tuple[float, float, bytes, bool]:
+        """(best score, loss of the second best, ids of the best, whether these decode to it) of a part."""
         if len(part) == 1:
-            return self.scores.get(part) or self.worst if part not in self.ids else self.scores[part], _NONE, array("I", self._ids(part, [0, 1])).tobytes()
+            return self._told(part, self.scores.get(part) or self.worst if part not in self.ids else self.scores[part], _NONE, [0, 1])
         if len(part) > LONG:
             two = self.nbest(part, 2)
-            return two[0][0], two[0][0] - two[1][0] if len(two) > 1 else _NONE, array("I", self._ids(part, two[0][1])).tobytes()
-        n, get, worst = len(part), self.scores.get, self.worst
-        forward, came, edges = [-_NONE] * (n + 1), [0] * (n + 1), []
+            return self._told(part, two[0][0], two[0][0] - two[1][0] if len(two) > 1 else _NONE, two[0][1])
+        # the best and the second best score of reaching each position
+        n, tree, worst = len(part), self.tree, self.worst
+        forward, second, came = [-_NONE] * (n + 1), [-_NONE] * (n + 1), [0] * (n + 1)
         forward[0] = 0.0
-        add = edges.append
         for i in range(n):
-            base = forward[i]
-            score = get(part[i], _NONE)
-            more = score is not _NONE
-            if not more or score is None:
-                score = worst
-            j = i + 1
-            while True:
-                if score is not None:
-                    add((i, j, score))
-                    # of equal scores the longer last piece
-                    if base + score > forward[j]:
-                        forward[j], came[j] = base + score, i
-                j += 1
-                if not more or j > n:
+            base, other, level, first = forward[i], second[i], tree, True
+            for j in range(i, n):
+                step = level.get(part[j])
+                if step is None:
+                    if not first:
+                        break
+                    score, level = worst, None
+                else:
+                    score, level = step
+                    if score is None:
+                        if not first:
+                            continue
+                        score = worst
+                first = False
+                value = base + score
+                # of equal scores the longer last piece
+                if value > forward[j + 1]:
+                    was, also = forward[j + 1], other + score
+                    second[j + 1] = was if was > also else also
+                    forward[j + 1], came[j + 1] = value, i
+                elif value > second[j + 1]:
+                    second[j + 1] = value
+                if not level:
                     break
-                score = get(part[i:j], _NONE)
-                if score is _NONE:
-                    break
-        cuts, after = [n], [0] * n
+        cuts = [n]
         while at := cuts[-1]:
-            after[came[at]] = at
             cuts.append(came[at])
-        # the second best segmentation has an edge that the best one lacks
-        backward, second = [-_NONE] * n + [0.0], -_NONE
-        for i, j, score in reversed(edges):
-            behind = score + backward[j]
-            if behind > backward[i]:
-                backward[i] = behind
-            if after[i] != j and forward[i] + behind > second:
-                second = forward[i] + behind
-        return forward[n], forward[n] - second, array("I", self._ids(part, cuts[::-1])).tobytes()
+        return self._told(part, forward[n], forward[n] - second[n], cuts[::-1])
+
+    def _told(self, part: str, score: float, loss: float, cuts: list[int]) -> tuple[float, float, bytes, bool]:
+        ids = self._ids(part, cuts)
+        return score, loss, array("I", ids).tobytes(), self._joined(ids) == part.replace(SPACE, " ")
 
     def atoms(self, part: str) -> list[str]:
         """A part, cut between characters that no piece holds together."""
         pairs = self.pairs
+        if pairs.issuperset(map(add, part, part[1:])):
+            return [part]
         cuts = [0, *[i for i in range(1, len(part)) if part[i - 1 : i + 1] not in pairs], len(part)]
         return [part[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
-    def _learn(self, part: str) -> tuple[float, float, bytes]:
-        """A part's best, from its atoms."""
+    def _learn(self, part: str) -> tuple[float, float, bytes, bool]:
+        """A part's best, from its atoms, and whether its ids decode to the part."""
         known = self.known
         if len(known) > REMEMBERED:
             known.clear()
-        found = []
-        for atom in self.atoms(part):
+        found, atoms = [], self.atoms(part)
+        if len(atoms) == 1:
+            out = self._atom(part)
+            if len(part) <= LONG:
+                known[part] = out
+            return out
+        for atom in atoms:
             f = known.get(atom)
             if f is None:
                 f = self._atom(atom)
                 if len(atom) <= LONG:
                     known[atom] = f
             found.append(f)
-        out = found[0] if len(found) == 1 else (sum(f[0] for f in found), min(f[1] for f in found), b"".join(f[2] for f in found))
+        out = (sum(f[0] for f in found), min(f[1] for f in found), b"".join(f[2] for f in found), all(f[3] for f in found))
         if len(part) <= LONG:
             known[part] = out
         return out
 
+    def _decodes(self, ids: bytes, part: str) -> bool:
+        return self._joined(array("I", ids)) == part.replace(SPACE, " ")
+
     def _ways(self, part: str, n: int) -> list[tuple[float, bytes, bool]]:
         """The n best (loss, ids, whether these decode to the part) of a part, whose atoms are searched by themselves."""
         found = self.others.get((part, n))
@@ -232,7 +250,7 @@ class PieceLattice:
             for loss, changed in ways:
                 ids = [array("I", self._ids(a, changed[i])).tobytes() if i in changed else best[i][2] for i, a in enumerate(atoms)]
                 whole = b"".join(ids)
-                found.append((loss, whole, self._joined(array("I", whole)) == part.replace(SPACE, " ")))
+                found.append((loss, whole, self._decodes(whole, part)))
             if len(self.others) > REMEMBERED // 8:
                 self.others.clear()
             if len(part) <= LONG:
@@ -258,7 +276,7 @@ class PieceLattice:
         return [p[:2] for p in self.checked(text, n)]
 
     def checked(self, text: str | None, n: int = N_BEST) -> list[tuple[float, bytes, bool]]:
-        """paths(), and whether the ids that a path has in other places than the best one decode to the text there."""
+        """paths(), and whether the ids of the best decode to the text, part by part, and those that another path has in other places there."""
         parts, known = self.parts(text), self.known
         found = []
         for p in parts:
@@ -266,7 +284,7 @@ class PieceLattice:
             found.append(f if f is not None else self._learn(p))
         if not found:
             return [(0.0, b"", True)]
-        scores, losses, ids = zip(*found, strict=True)
+        scores, losses, ids, good = zip(*found, strict=True)
         total = sum(scores)
         cheap = heapq.nsmallest(n - 1, [(x, i) for i, x in enumerate(losses) if x < _NONE]) if n > 1 else []
         # a way is its loss and, by part, the ids it takes there instead of the best
@@ -274,7 +292,7 @@ class PieceLattice:
         for _, i in cheap:
             own = self._ways(parts[i], n)
             ways = heapq.nsmallest(n, [(w + other[0], c | {i: other[1:]} if k else c) for w, c in ways for k, other in enumerate(own)], key=itemgetter(0))
-        out = [(total, b"".join(ids), True)]
+        out = [(total, b"".join(ids), all(good))]
         for w, changed in ways[1:]:
             own = list(ids)
             for i, (other, _) in changed.items():
@@ -330,8 +348,8 @@ def encode(docs: DataFrame, n: int = N_BEST, path: str = PIECE_BPE, text: str =
             rows = []
             for t in batch.column(1).to_pylist():
                 found = own.checked(t, n)
-                # the best is decoded whole, the others where they differ from it
-                best = own.decode(array("I", found[0][1])) == own.plain(t)
+                # the best is decoded by its parts, the others where they differ from it
+                best = found[0][2]
                 ids = [f[1] for f in found]
                 rows.append(([f[0] for f in found], [len(i) // 4 for i in ids], [zlib.crc32(i) for i in ids], [best and f[2] for f in found], ids))
             columns = [pa.array([r[k] for r in rows], pa.list_(kind)) for k, kind in enumerate(kinds.values())]

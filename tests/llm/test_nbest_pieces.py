@@ -112,3 +112,18 @@ def test_a_very_long_word_takes_linear_time_and_memory():
     own.paths("x" + text)
     assert tracemalloc.get_traced_memory()[1] < 200e6
     tracemalloc.stop()
+
+
+def test_second_best_and_round_trip_of_parts_match_whole_searches():
+    own, rng = nb.lattice(), random.Random(9)
+    for _ in range(300):
+        part = own.model.normalize("".join(rng.choice("thenaiosß,.é日☃") for _ in range(rng.randint(1, 14)))) or nb.SPACE
+        best, loss, ids, good = own._learn(part)
+        two = own.nbest(part, 2)
+        assert best == two[0][0] and (loss == best - two[1][0] if len(two) > 1 else loss == float("inf"))
+        assert ids == nb.array("I", own._ids(part, two[0][1])).tobytes()
+        assert good == (own._joined(nb.array("I", ids)) == part.replace(nb.SPACE, " "))
+    # ids that do not decode to their part are told: pieces of another text under this one's ids
+    own = nb.PieceLattice()
+    own.pieces = [p.replace("t", "x") for p in own.pieces]
+    assert [f[2] for f in own.checked("the cat", 2)][0] is False and [f[2] for f in nb.lattice().checked("the cat", 2)] == [True, True]
