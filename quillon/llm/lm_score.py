@@ -40,6 +40,8 @@ ADD = 0.1
 #: Bytes of text from which a shard is full.
 SHARD_BYTES = 20 << 20
 #: No word holds white space.
+#: Tokens for which a task holds weights at once, unless a document has more.
+TOKENS = 1 << 20
 END, START = b"\n", b"\r"
 _SPLIT = 24
 #: The kinds of rows besides those of n-grams, which have their order: documents, and a range's totals.
@@ -70,6 +72,21 @@ def _joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
         return (x ^ (x >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
 
 
+def _numbered(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values in order, and each value's number: np.unique with narrow numbers, which let go of what is done with."""
+    order = np.argsort(values).astype(np.int32)
+    values = values[order]
+    new = np.ones(len(values), dtype=bool)
+    np.not_equal(values[1:], values[:-1], out=new[1:])
+    keys = values[new]
+    del values
+    ranks = np.cumsum(new, dtype=np.int32)
+    ranks -= 1
+    out = np.empty(len(order), dtype=np.int32)
+    out[order] = ranks
+    return keys, out
+
+
 class Documents:
     """lengths in tokens, tokens by number, and the words' hashes, of the documents of a shard."""
 
@@ -113,13 +130,30 @@ class Grams:
             own = _joined(before, word)
             del before
             good = self.place >= k - 2
-            keys, inverse = np.unique(own[good], return_inverse=True)
+            # the last order's keys are no histories
+            values = own[good]
+            history = own if k < order else None
+            del own
+            keys, inverse = _numbered(values)
+            del values
             at = np.full(n, -1, dtype=np.int32)
             at[good] = inverse
             del inverse, good
             self.keys.append(keys)
             self.at.append(at)
-            history = own
+
+    def runs(self, tokens: int):
+        """The same n-grams for runs of whole documents with about so many tokens each; their keys are left out."""
+        ends = np.cumsum(self.docs.lengths)
+        begin = 0
+        while begin < len(ends):
+            first = int(ends[begin - 1]) if begin else 0
+            end = max(begin + 1, int(np.searchsorted(ends, first + tokens, side="right")))
+            own = object.__new__(Grams)
+            own.docs, own.keys, own.number = Documents(self.docs.lengths[begin:end], None, None), [], self.number
+            own.place, own.at = self.place[first : ends[end - 1]], [at[first : ends[end - 1]] for at in self.at]
+            yield own
+            begin = end
 
     def counts(self, training: np.ndarray) -> list[np.ndarray]:
         """Counts in the training documents, by order and in the order of the keys."""
@@ -284,14 +318,20 @@ def _scorer(total: int, distinct: int, order: int, masses):
             raise ValueError(_UNSTABLE)
         # the automaton is over numbers: what they were made from goes before it is built
         grams.keys, docs.tokens, docs.hashes = [], None, None
-        automaton = Automaton(grams, counts, total, distinct, masses)
-        n, at = len(docs.lengths), grams.at[0]
-        doc = np.repeat(np.arange(n), docs.lengths)
-        base = np.bincount(doc, weights=automaton.root[at], minlength=n)
-        known = np.bincount(doc, weights=counts[0][at] > 0, minlength=n).astype(np.int64)
+        lengths, known, base, sums = docs.lengths, [], [], []
+        for run_ in grams.runs(TOKENS):
+            automaton = Automaton(run_, counts, total, distinct, masses)
+            n, at = len(run_.docs.lengths), run_.at[0]
+            doc = np.repeat(np.arange(n), run_.docs.lengths)
+            base.append(np.bincount(doc, weights=automaton.root[at], minlength=n))
+            known.append(np.bincount(doc, weights=counts[0][at] > 0, minlength=n).astype(np.int64))
+            del doc
+            sums.append(automaton.traverse())
+            del automaton
+        n, known, base, sums = len(lengths), *map(np.concatenate, (known, base, sums))
         ids, train = listed.column("ids")[0].values, np.array(listed.column("train")[0].as_py(), dtype=bool)
         return pa.table(
-            [ids, pa.array(~train), pa.array(docs.lengths), pa.array(known), pa.array(np.full(n, total)), pa.array(base), pa.array(automaton.traverse())],
+            [ids, pa.array(~train), pa.array(docs.lengths), pa.array(known), pa.array(np.full(n, total)), pa.array(base), pa.array(sums)],
             names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
         )
 

@@ -119,3 +119,19 @@ def test_memory_of_a_shard_per_token():
     used = tracemalloc.get_traced_memory()[1] - start
     tracemalloc.stop()
     assert docs.tokens.nbytes + used < 74 * n, (docs.tokens.nbytes + used) / n
+
+
+def test_runs_of_documents_score_as_the_shard_does():
+    rng = np.random.default_rng(5)
+    texts = [None, "", *[" ".join(f"w{x}" for x in rng.zipf(1.4, int(n)) % 500) for n in rng.integers(0, 60, 80)]]
+    grams = lm.Grams(lm.Documents.of(texts))
+    counts = grams.counts(np.arange(len(texts)) % 3 > 0)
+    total, distinct = int(counts[0].sum()), int((counts[0] > 0).sum())
+    whole = lm.Automaton(grams, counts, total, distinct).traverse()
+    for tokens in (1, 50, 10**6):
+        runs = list(grams.runs(tokens))
+        assert len(runs) > 1 or tokens == 10**6
+        assert np.array_equal(np.concatenate([lm.Automaton(r, counts, total, distinct).traverse() for r in runs]), whole)
+    keys, number = lm._numbered(np.array([7, 3, 7, 9, 3], dtype=np.uint64))
+    assert keys.tolist() == [3, 7, 9] and number.tolist() == [1, 0, 1, 2, 0]
+    assert [len(x) for x in lm._numbered(np.zeros(0, dtype=np.uint64))] == [0, 0]
