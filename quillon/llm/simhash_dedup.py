@@ -233,14 +233,16 @@ def near_duplicate_groups(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFr
     def prepare(items: DataFrame):
         wanted = items.join(distinct, "h").select("h", "first.*").drop("last")
         texts = rows.join(wanted.select(*ROW), same_row(rows, wanted), "left_semi")
-        sets = checkpointed(_described(texts, True).withColumn("h", F.xxhash64("words")).dropDuplicates(["h"]).select("h", "words", "grams"))
-        side = lambda name, n: sets.select(F.col("h").alias(name), F.col("words").alias(f"w{n}"), F.col("grams").alias(f"g{n}"))
-        differ = F.aggregate(F.zip_with("w1", "w2", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
+        sets = checkpointed(_described(texts, True).withColumn("h", F.xxhash64("words")).dropDuplicates(["h"]).select("h", "grams"))
+        side = lambda name, n: sets.select(F.col("h").alias(name), F.col("grams").alias(f"g{n}"))
         shared = F.size(F.array_intersect("g1", "g2"))
         alike = shared >= LEAST_SIMILARITY * (F.size("g1") + F.size("g2") - shared) - 1e-9
-        return lambda pairs: pairs.join(side("a", 1), "a").join(side("b", 2), "b").filter((differ <= WIDE_BITS) & alike).select("a", "b"), None
+        return lambda pairs: pairs.join(side("a", 1), "a").join(side("b", 2), "b").filter(alike).select("a", "b"), None
 
-    groups = linked_groups(_wide_buckets(distinct), lambda a, b: F.bit_count(a.bitwiseXOR(b)) <= GATE_BITS, prepare)
+    # by their first words most texts meet by chance; the complete distance decides whose texts are looked at
+    close = lambda a, b: sum((F.bit_count(a[j].bitwiseXOR(b[j])) for j in range(WIDE_WORDS)), F.lit(0)) <= WIDE_BITS
+    whole = distinct.select("h", F.col("words").alias("more"))
+    groups = linked_groups(_wide_buckets(distinct), lambda a, b: F.bit_count(a.bitwiseXOR(b)) <= GATE_BITS, prepare, finer=(whole, close))
     return fps, distinct.select("h", "first"), groups
 
 

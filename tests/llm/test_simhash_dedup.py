@@ -115,3 +115,15 @@ def test_rows_are_dropped_one_by_one(spark):
     assert sorted(r.k for r in kept.collect()) == [0, 2, 4, 5, 6]
     assert s.drop_near_duplicates(df.limit(0)).count() == 0
     assert {r.doc_id for r in s.drop_near_duplicates(spark.createDataFrame([("y", a), ("x", a + " more")], "doc_id string, text string")).collect()} == {"x"}
+
+
+def test_only_texts_within_the_complete_distance_are_looked_at(spark, monkeypatch):
+    texts = [" ".join(f"w{k}_{i}" for i in range(60)) for k in range(8)]
+    texts.append(texts[0] + " more")
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    looked, described = [], s._described
+    # all meet in one bucket, as if their first words were alike
+    monkeypatch.setattr(s, "_wide_buckets", lambda distinct: distinct.selectExpr("h", "0L AS gate", "1L AS bucket"))
+    monkeypatch.setattr(s, "_described", lambda r, with_sets: (looked.append(r.count()) if with_sets else None, described(r, with_sets))[1])
+    assert sorted(r.doc_id for r in s.drop_near_duplicates(rows).collect()) == list(range(8))
+    assert looked == [2]
