@@ -84,6 +84,26 @@ def test_jaccard_matches_brute_force(spark):
     assert {(r.i, r.j) for r in got.collect()} == want
 
 
+def test_pairs_that_marks_rule_out_are_not_written_and_parts_lose_none(spark, monkeypatch):
+    # all sets share tokens of one pool; those of ten are near copies of one another
+    rng = random.Random(12)
+    pool = [f"w{i}" for i in range(60)]
+    sets = [set(rng.sample(pool, 20)) for _ in range(250)]
+    sets += [set(rng.sample(sorted(sets[0]), 18)) | {f"own{k % 3}"} for k in range(10)]
+    own = list({frozenset(s): i for i, s in reversed(list(enumerate(sets)))}.values())
+    want = {(i, j) for i in own for j in own if i < j and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.6 - 1e-12}
+    df = spark.createDataFrame([(i, " ".join(sorted(s))) for i, s in enumerate(sets)], "doc_id long, text string")
+    store = spark.sparkContext._jsc.sc().statusStore
+    stages = lambda: spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(store().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None))
+    before = {s.stageId() for s in stages()}
+    assert {(r.i, r.j) for r in pairs.jaccard_pairs(df, 0.6).collect()} == want and len(want) > 40
+    written = sum(s.shuffleWriteRecords() for s in stages() if s.stageId() not in before)
+    assert written < 12_000, written
+    monkeypatch.setattr(pairs, "PART_ROWS", 700)
+    monkeypatch.setattr(pairs, "PART_TOKENS", 500)
+    assert sorted((r.i, r.j) for r in pairs.jaccard_pairs(df, 0.6).collect()) == sorted(want)
+
+
 def test_copies_are_classes_with_counts(spark):
     rows = [(1, "a b c d"), (2, "d c b a"), (3, "a b c e"), (4, ""), (5, None), (6, "a b c d")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
