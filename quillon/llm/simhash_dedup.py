@@ -213,14 +213,15 @@ def _described(rows: DataFrame, with_sets: bool) -> DataFrame:
 
 def _wide_buckets(distinct: DataFrame) -> DataFrame:
     """(h, gate, bucket): for every segment the Hamming ball of radius one around its value; zeros alone are flipped, as
-    of two values that differ in one bit one has a zero there. The gate is the first word."""
+    of two values that differ in one bit one has a zero there. The gate is the word after the segment's: its own word agrees in
+    the segment's bits, so that texts which meet by chance would often pass."""
     mask, parts = (1 << SEGMENT) - 1, []
     for number in range(WIDE_WORDS * (64 // SEGMENT)):
         word, low = divmod(number, 64 // SEGMENT)
         value = F.shiftrightunsigned(F.col("words")[word], low * SEGMENT).bitwiseAND(F.lit(mask))
-        parts.append(F.lit(number << SEGMENT).cast("long").bitwiseOR(value))
-    ball = F.flatten(F.transform(F.array(*parts), lambda x: _ball(x, SEGMENT, True)))
-    return distinct.select("h", F.col("words")[0].alias("gate"), F.explode(ball).alias("bucket"))
+        own = F.lit(number << SEGMENT).cast("long").bitwiseOR(value)
+        parts.append(F.struct(F.col("words")[(word + 1) % WIDE_WORDS].alias("gate"), _ball(own, SEGMENT, True).alias("ball")))
+    return distinct.select("h", F.inline(F.array(*parts))).select("h", "gate", F.explode("ball").alias("bucket"))
 
 
 def near_duplicate_groups(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -239,7 +240,7 @@ def near_duplicate_groups(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFr
         alike = shared >= LEAST_SIMILARITY * (F.size("g1") + F.size("g2") - shared) - 1e-9
         return lambda pairs: pairs.join(side("a", 1), "a").join(side("b", 2), "b").filter(alike).select("a", "b"), None
 
-    # by their first words most texts meet by chance; the complete distance decides whose texts are looked at
+    # one word still lets texts meet by chance; the complete distance decides whose texts are looked at
     close = lambda a, b: sum((F.bit_count(a[j].bitwiseXOR(b[j])) for j in range(WIDE_WORDS)), F.lit(0)) <= WIDE_BITS
     whole = distinct.select("h", F.col("words").alias("more"))
     groups = linked_groups(_wide_buckets(distinct), lambda a, b: F.bit_count(a.bitwiseXOR(b)) <= GATE_BITS, prepare, finer=(whole, close))

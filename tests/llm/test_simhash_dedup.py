@@ -127,3 +127,18 @@ def test_only_texts_within_the_complete_distance_are_looked_at(spark, monkeypatc
     monkeypatch.setattr(s, "_described", lambda r, with_sets: (looked.append(r.count()) if with_sets else None, described(r, with_sets))[1])
     assert sorted(r.doc_id for r in s.drop_near_duplicates(rows).collect()) == list(range(8))
     assert looked == [2]
+
+
+def test_fingerprints_that_share_a_segment_by_chance_rarely_pass_the_gate(spark):
+    rng = random.Random(12)
+    signed = lambda: rng.getrandbits(64) - (1 << 63)
+    rows = [(h, [signed() for _ in range(s.WIDE_WORDS)]) for h in range(3000)]
+    # a near copy of each of the first: one bit differs in every word
+    rows += [(3000 + h, [w ^ 1 << rng.randrange(60) for w in words]) for h, words in rows[:50]]
+    met = s._wide_buckets(spark.createDataFrame(rows, "h long, words array<long>"))
+    close = (F.col("l.bucket") == F.col("r.bucket")) & (F.col("l.h") < F.col("r.h"))
+    gate = F.bit_count(F.col("l.gate").bitwiseXOR(F.col("r.gate"))) <= s.GATE_BITS
+    pairs = {(r[0], r[1]): r[2] for r in met.alias("l").join(met.alias("r"), close).groupBy("l.h", "r.h").agg(F.max(gate)).collect()}
+    copies = {(h, 3000 + h) for h in range(50)}
+    assert copies <= {p for p, passed in pairs.items() if passed}
+    assert len(pairs) > 500 and sum(passed for p, passed in pairs.items() if p not in copies) < 10
